@@ -21,8 +21,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hexadecimal, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hexadecimal().alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sentencepiece": op2_sentencepiece}
+    return {"op2_sentencepiece": op2_sentencepiece, "op6_simhash": op6_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
