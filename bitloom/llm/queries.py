@@ -27,6 +27,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hexadecimal, near_duplicates
 
@@ -34,7 +40,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_sentencepiece": op2_sentencepiece, "op6_simhash": op6_simhash}
+    return {"op1_quality_rules": op1_quality_rules, "op2_sentencepiece": op2_sentencepiece, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
