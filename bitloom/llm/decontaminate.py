@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 WINDOW = 13
 SEGMENT_BYTES = 8 << 20  # of text in a segment; a longer text is a segment of its own
@@ -222,3 +222,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, block:
                 yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["n_words"], pa.int64()), pa.array(n_hit, pa.int64()), pa.array(list(map(len, found)), pa.int64()), pa.array(shas), pa.array([20 * h >= n and h > 0 for h, n in zip(n_hit, row["n_words"])])], names)
 
     return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def keep(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows of docs that are not contaminated, as they are. A document is named by its doc_id;
+    one without stays."""
+    gone = contamination(docs, items, size).where("contaminated and doc_id is not null").select("doc_id").distinct()
+    return docs.join(small(stored(gone, "contaminated")), "doc_id", "left_anti").select(docs.columns)

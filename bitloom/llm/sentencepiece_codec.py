@@ -342,17 +342,26 @@ class Codec:
                 raise ValueError(f"the agenda and the library differ on {c[:80]!r}")
 
 
-def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", verify_one_in: int = VERIFY_ONE_IN) -> DataFrame:
-    """id_col, ids array<int>, decoded string: every text encoded and decoded again."""
+def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", verify_one_in: int = VERIFY_ONE_IN) -> DataFrame:
+    """The other columns of docs, and ids array<int>, n_tokens and decoded: every text encoded and
+    decoded again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model_path, verify_one_in)
-        for batch in batches:
-            ids = list(codec.encode_batch(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.model.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
-
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sizes, flat, texts = [0], [], []
+                for ids in codec.encode_batch(batch.column(1).to_pylist()):
+                    flat.append(np.array(ids, np.int32))
+                    sizes.append(sizes[-1] + len(ids))
+                    texts.append(codec.model.decode(ids))
+                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.diff(sizes), pa.int64()), pa.array(texts, pa.string())], ["rest", "ids", "n_tokens", "decoded"])
+
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest"), F.col(text_col).alias("text"))
+    out = src.mapInArrow(run, f"rest {src.schema['rest'].dataType.simpleString()}, ids array<int>, n_tokens long, decoded string")
+    return out.select("rest.*", "ids", "n_tokens", "decoded")
 
 
 def digests(docs: DataFrame, model_path: str, verify_one_in: int = VERIFY_ONE_IN) -> DataFrame:

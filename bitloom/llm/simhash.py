@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, width
+from .common import small, stored, width
 from .components import components
 
 SEED, BITS, SEGMENT, RADIUS = 42, 64, 32, 3
@@ -170,5 +170,16 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return prints.join(names, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def keep(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One document of each component, that with the least doc_id, as it is; of rows that repeat
+    its doc_id one stays. A document without a doc_id represents nothing and stays."""
+    gone = near_duplicates(docs, block).where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(small(stored(gone, "simhash-gone")), "doc_id", "left_anti")
+    again = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-again")
+    if again.isEmpty():
+        return left.select(docs.columns)
+    return left.join(small(again), "doc_id", "left_anti").select(docs.columns).union(left.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+
+
 def hexadecimal(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
