@@ -27,6 +27,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import learn_and_identify
+
+    return learn_and_identify(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -39,6 +45,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_rollup import maintained
+
+    return maintained(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import removed
 
@@ -46,8 +58,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_sentencepiece": op2_sentencepiece, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op9_suffix_dedup": op9_suffix_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op2_sentencepiece": op2_sentencepiece, "op4_langid": op4_langid, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op8_token_counts": op8_token_counts, "op9_suffix_dedup": op9_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import token_rollup
+
+    return {"op8_token_counts": token_rollup.ORACLE_SQL}
