@@ -27,6 +27,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import learn_and_identify
 
@@ -58,10 +64,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_sentencepiece": op2_sentencepiece, "op4_langid": op4_langid, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op8_token_counts": op8_token_counts, "op9_suffix_dedup": op9_suffix_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op2_sentencepiece": op2_sentencepiece, "op3_warc": op3_warc, "op4_langid": op4_langid, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op8_token_counts": op8_token_counts, "op9_suffix_dedup": op9_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import token_rollup
+    from . import token_rollup, warc
 
-    return {"op8_token_counts": token_rollup.ORACLE_SQL}
+    return {"op3_warc": warc.ORACLE_SQL, "op8_token_counts": token_rollup.ORACLE_SQL}
