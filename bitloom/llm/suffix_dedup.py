@@ -41,7 +41,7 @@ from .common import stored, width
 
 LENGTH = 400
 COVER_R = 2  # of the cover's construction
-BLOCK_BYTES, TILE = 4 << 20, 1 << 20
+BLOCK_BYTES, TILE = 1 << 20, 1 << 19
 ROUND_SHARE = 0.3  # of the text's bytes that a round ships at most
 BUCKET_BYTES = 16 << 20  # of packed suffixes that a task sorts at once
 MASK = (1 << 64) - 1
