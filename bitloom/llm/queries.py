@@ -51,6 +51,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotes import conversations
+
+    return conversations(table(spark, sf_dir, "conversations"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_rollup import maintained
 
@@ -64,7 +70,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_sentencepiece": op2_sentencepiece, "op3_warc": op3_warc, "op4_langid": op4_langid, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op8_token_counts": op8_token_counts, "op9_suffix_dedup": op9_suffix_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op2_sentencepiece": op2_sentencepiece, "op3_warc": op3_warc, "op4_langid": op4_langid, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op7_quotes": op7_quotes, "op8_token_counts": op8_token_counts, "op9_suffix_dedup": op9_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
