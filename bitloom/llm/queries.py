@@ -69,8 +69,14 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents"))
 
 
+def op10_wrapper_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrapper_html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_sentencepiece": op2_sentencepiece, "op3_warc": op3_warc, "op4_langid": op4_langid, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op7_quotes": op7_quotes, "op8_token_counts": op8_token_counts, "op9_suffix_dedup": op9_suffix_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op2_sentencepiece": op2_sentencepiece, "op3_warc": op3_warc, "op4_langid": op4_langid, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op7_quotes": op7_quotes, "op8_token_counts": op8_token_counts, "op9_suffix_dedup": op9_suffix_dedup, "op10_wrapper_html": op10_wrapper_html}
 
 
 def oracle_sql() -> dict[str, str]:
