@@ -156,6 +156,8 @@ def to_column(tree: tuple, look: Callable):
     if sign in ("&&", "||"):
         a, b = _truth(a, tree[2]), _truth(b, tree[3])
         return a & b if sign == "&&" else a | b
+    if sign not in ("==", "===", "!=", "!==") or _boolean(tree[2]) != _boolean(tree[3]):
+        a, b = (x.cast("long") if _boolean(t) else x for x, t in ((a, tree[2]), (b, tree[3])))
     if sign in ("/", "%"):
         return F.call_function("div", a, b) if sign == "/" else a % b
     own = {"|": lambda: a.bitwiseOR(b), "^": lambda: a.bitwiseXOR(b), "&": lambda: a.bitwiseAND(b), "<<": lambda: F.call_function("shiftleft", a, b), ">>": lambda: F.call_function("shiftright", a, b)}

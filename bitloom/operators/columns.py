@@ -398,7 +398,9 @@ class _HexEncoder:
         elif target not in done:
             raise NotNative("a target elsewhere")
         elif c["type"] == "crc32_of":
-            n = F.crc32(F.unhex(done[target]))
+            spec = fields[target]
+            bare = {**spec, "kind": "eof_terminated"} if spec["type"] in ("array", "bytes") else spec  # without its prefix
+            n = F.crc32(F.unhex(self.element(bare, value.getField(target), {}, ())))
         elif c["type"] in ("length_of", "count_of"):
             spec, own = fields[target], value.getField(target)
             if spec["type"] == "string" and "encoding" not in c:
