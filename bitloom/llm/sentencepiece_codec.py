@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model format
-MEMO_CHUNKS, MEMO_CHARS = 900_000, 48  # about 250 MB a worker
+MEMO_CHUNKS, MEMO_CHARS = 400_000, 48  # about 120 MB a worker
 VERIFY_ONE_IN = 16  # of the chunks new to a worker, by hash, so many are compared with the library
 SHORT = 24  # symbols
 STRANGE = 1 << 24  # a character that is no piece is this plus its code point, in the lock step
