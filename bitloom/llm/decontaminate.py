@@ -229,3 +229,19 @@ def keep(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     one without stays."""
     gone = contamination(docs, items, size).where("contaminated and doc_id is not null").select("doc_id").distinct()
     return docs.join(small(stored(gone, "contaminated")), "doc_id", "left_anti").select(docs.columns)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
+     b AS (SELECT CAST(item_id AS VARCHAR) AS item, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM benchmark WHERE item_id IS NOT NULL),
+     s AS (SELECT item, w, unnest(range(0, greatest(1, len(w) - 12))) AS i FROM b WHERE len(w) > 0),
+     win AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i + 1:i + 13], ' ') AS k FROM s),
+     sizes AS (SELECT DISTINCT n FROM win),
+     spot AS (SELECT rid, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d JOIN sizes ON len(w) >= n),
+     hit AS (SELECT rid, i, c.n, item FROM (SELECT rid, i, n, array_to_string(w[i + 1:i + n], ' ') AS k FROM spot) c JOIN win ON c.n = win.n AND c.k = win.k),
+     pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid),
+     own AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (rid) LEFT JOIN own USING (rid)
+"""

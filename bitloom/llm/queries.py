@@ -80,6 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import token_rollup, warc
+    from . import decontaminate, token_rollup, warc
 
-    return {"op3_warc": warc.ORACLE_SQL, "op8_token_counts": token_rollup.ORACLE_SQL}
+    return {"op5_decontaminate": decontaminate.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op8_token_counts": token_rollup.ORACLE_SQL}

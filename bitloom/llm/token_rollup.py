@@ -111,9 +111,9 @@ def maintained(docs: DataFrame) -> DataFrame:
 ORACLE_SQL = r"""
 WITH c AS (
   SELECT source, lang,
-         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')) AS v1,
+         len([x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> '']) AS v1,
          length(regexp_replace(regexp_replace(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+', 'x', 'g'), '[\x00-\x20\x7F]+', '', 'g')) AS v2,
-         list_sum([len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), y -> y <> '')) FOR x IN list_distinct(string_split(coalesce(text, ''), chr(10)))]) AS r1
+         list_sum([len([y FOR y IN regexp_split_to_array(x, '[\x20\x09-\x0D]+') IF y <> '']) FOR x IN list_distinct(string_split(coalesce(text, ''), chr(10)))]) AS r1
   FROM documents)
 SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens
 FROM (SELECT source, lang, 'words-1' AS tokenizer, r1 AS tokens FROM c WHERE v1 >= 10
