@@ -28,37 +28,57 @@ OUT = "index long, message binary, error string"
 @dataclass
 class Framing:
     """length_type: a uint or varint prefix ("uint16", "leb128", ...); greedy: decode `root`, and a
-    message is what it consumed. length counts the bytes behind the prefix, plus `extra`."""
+    message is what it consumed. length counts the bytes behind the prefix, plus `extra`. count, or a
+    number of count_type at the stream's start, ends the stream after so many messages; what follows
+    them is dropped."""
 
     length_type: str | None = None
     big_endian: bool = True
     extra: int = 0
     schema_key: str | None = None
     root: str | None = None
+    count: int | None = None
+    count_type: str | None = None
 
     def __post_init__(self) -> None:
+        if self.count is not None and self.count_type is not None:
+            raise ValueError("a stream has a given count or a count prefix, not both")
         if (self.length_type is None) == (self.root is None):
             raise ValueError("a framing has a length prefix or a type to decode, not both")
 
     @classmethod
-    def greedy(cls, schema: Schema, root: str) -> Framing:
-        return cls(schema_key=_key(schema), root=root)
+    def greedy(cls, schema: Schema, root: str, **more) -> Framing:
+        return cls(schema_key=_key(schema), root=root, **more)
 
 
 class Framer:
-    def __init__(self, framing: Framing, tail: bytes = b"", index: int = 0):
+    """total: how many messages there are, -1 if that isn't known."""
+
+    def __init__(self, framing: Framing, tail: bytes = b"", index: int = 0, total: int = -1):
         self.framing, self.tail, self.index = framing, tail, index
+        self.total = framing.count if framing.count is not None else total
 
     def feed(self, chunk: bytes) -> Iterator[tuple[int, bytes]]:
-        data = self.tail + chunk
-        at = 0
-        while at < len(data):
+        data, at = self.tail + chunk, 0
+        if self.framing.count_type is not None and self.total < 0:
+            at = self._count(data)
+        while at < len(data) and (self.total < 0 and self.framing.count_type is None or self.index < self.total):
             end = self._end(data, at)
             if end is None or end > len(data):
                 break
             yield self.index, data[at:end]
             self.index, at = self.index + 1, end
-        self.tail = data[at:]
+        self.tail = b"" if 0 <= self.total <= self.index else data[at:]
+
+    def _count(self, data: bytes) -> int:
+        r, kind = Reader(data), self.framing.count_type
+        try:
+            self.total = r.integer(UINT[kind], self.framing.big_endian) if kind in UINT else r.varint(kind)
+        except CodecError as e:
+            if e.code != "INCOMPLETE_DATA":
+                raise
+            return 0
+        return r.at
 
     def _end(self, data: bytes, at: int) -> int | None:
         f, r = self.framing, Reader(data, at)
@@ -78,7 +98,8 @@ class Framer:
 
     def finish(self) -> tuple[int, bytes, str] | None:
         """The end of the stream: what is left is an incomplete message."""
-        return (self.index, self.tail, "INCOMPLETE_DATA") if self.tail else None
+        short = bool(self.tail) or self.index < self.total
+        return (self.index, self.tail, "INCOMPLETE_DATA") if short else None
 
 
 def frames(chunks: DataFrame, key: str, order: str, data: str, framing: Framing, finish: bool = True) -> DataFrame:
@@ -116,15 +137,15 @@ class _Processor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("tail", StructType([StructField("tail", BinaryType()), StructField("index", LongType())]))
+        self.state = handle.getValueState("tail", StructType([StructField("tail", BinaryType()), StructField("index", LongType()), StructField("total", LongType())]))
 
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
-        tail, index = self.state.get() if self.state.exists() else (b"", 0)
-        framer, out = Framer(self.framing, bytes(tail), index), []
+        tail, index, total = self.state.get() if self.state.exists() else (b"", 0, -1)
+        framer, out = Framer(self.framing, bytes(tail), index, total), []
         pdf = pd.concat(list(rows)).sort_values("order", kind="stable")
         for chunk in pdf["data"]:
             out += [(key[0], i, m, None) for i, m in framer.feed(bytes(chunk))]
-        self.state.update((framer.tail, framer.index))
+        self.state.update((framer.tail, framer.index, framer.total))
         if self.idle_ms:
             for t in self.handle.listTimers():
                 self.handle.deleteTimer(t)
@@ -132,8 +153,8 @@ class _Processor(StatefulProcessor):
         yield pd.DataFrame(out, columns=["key", "index", "message", "error"])
 
     def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        tail, index = self.state.get() if self.state.exists() else (b"", 0)
-        last = Framer(self.framing, bytes(tail), index).finish()
+        tail, index, total = self.state.get() if self.state.exists() else (b"", 0, -1)
+        last = Framer(self.framing, bytes(tail), index, total).finish()
         self.state.clear()
         yield pd.DataFrame([(key[0], *last)] if last else [], columns=["key", "index", "message", "error"])
 

@@ -69,6 +69,18 @@ def test_paths_agree(spark, little):
     assert r.decoded is None and r.decoded_error.code == "INCOMPLETE_DATA"
 
 
+def test_types_within_themselves_are_unrolled(spark):
+    t = {"Leaf": {"sequence": [{"name": "tag", "type": "uint8", "const": 0}, {"name": "v", "type": "uint8"}]}, "List": {"sequence": [{"name": "tag", "type": "uint8", "const": 1}, {"name": "kids", "type": "array", "kind": "length_prefixed", "length_type": "uint8", "items": {"type": "choice", "choices": [{"type": "Leaf"}, {"type": "List"}]}}]}}
+    s = load({"types": t})
+    wire = "00" + "05"
+    for _ in range(2):
+        wire = "0101" + wire
+    deep = "0101" * 12 + "0005"
+    df = spark.createDataFrame([(bytearray.fromhex(wire),), (bytearray.fromhex(deep),)], "b binary").coalesce(1)
+    a, b = codec.decode(df, "b", s, "List", mode=codec.PERMISSIVE).collect()
+    assert a.decoded.kids[0].List.kids[0].Leaf.v == 5 and b.decoded is None and b.decoded_error.code == "CIRCULAR_REFERENCE"
+
+
 def test_native_encoder_agrees(spark):
     s = load({"types": {"I": {"sequence": [{"name": "k", "type": "uint8"}, {"name": "v", "type": "int32"}]}, "N": {"sequence": [{"name": "n", "type": "uint16", "computed": {"type": "length_of", "target": "i"}}, {"name": "at", "type": "uint8", "computed": {"type": "position_of", "target": "t"}}, {"name": "i", "type": "array", "kind": "field_referenced", "length_field": "n", "items": {"type": "I"}}, {"name": "t", "type": "string", "kind": "null_terminated", "encoding": "utf8"}, {"name": "data", "type": "bytes", "kind": "length_prefixed", "length_type": "uint8"}, {"name": "crc", "type": "uint32", "computed": {"type": "crc32_of", "target": "data"}}, {"name": "opt", "type": "optional", "value_type": "int8"}]}}})
     rows = [([(1, -5), (255, 2**31 - 1)], "é", bytearray(b"xyz"), -1), ([], "", bytearray(), None)]
