@@ -344,7 +344,7 @@ class Codec:
 
 def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", verify_one_in: int = VERIFY_ONE_IN) -> DataFrame:
     """The other columns of docs, and ids array<int>, n_tokens and decoded: every text encoded and
-    decoded again."""
+    decoded again. Columns of docs by these three names are replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model_path, verify_one_in)
@@ -359,7 +359,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", veri
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.diff(sizes), pa.int64()), pa.array(texts, pa.string())], ["rest", "ids", "n_tokens", "decoded"])
 
-    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest"), F.col(text_col).alias("text"))
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "ids", "n_tokens", "decoded")]).alias("rest"), F.col(text_col).alias("text"))
     out = src.mapInArrow(run, f"rest {src.schema['rest'].dataType.simpleString()}, ids array<int>, n_tokens long, decoded string")
     return out.select("rest.*", "ids", "n_tokens", "decoded")
 

@@ -401,8 +401,8 @@ def keep(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Where a cut has split a character, its remains become U+FFFD."""
     others = tuple(c for c in docs.columns if c != "text")
     text = F.make_valid_utf8(F.col("kept").cast("string")) if hasattr(F, "make_valid_utf8") else F.col("kept").cast("string")
-    flat = cut(docs, others, length).select("rest.*", text.alias("text"), "n_removed")
+    flat = cut(docs, others, length).select("rest.*", text.alias("text"), F.col("n_removed").alias("__cut"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        flat = flat.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        flat = flat.withColumn("n_chars", F.when(F.col("__cut") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return flat.select(docs.columns)

@@ -42,6 +42,6 @@ def test_query_in_arrow_batches(spark):
         ids = lib.encode(t or "")
         want.append((i, len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids))))
     assert sorted(map(tuple, c.digests(df, PATH, 1).collect()), key=str) == sorted(want, key=str)
-    full = c.encode_decode(df.drop("n_tokens"), PATH).collect()
+    full = c.encode_decode(df, PATH).collect()
     assert len(full) == len(rows) and all(r.n_tokens == len(r.ids) for r in full)
     assert c.digests(df.limit(0), PATH).count() == 0

@@ -66,6 +66,6 @@ def test_empty_table(spark):
 def test_keep_cuts_texts_and_carries_columns(spark):
     base = "".join(random.Random(4).choice("abcdefgh") for _ in range(500))
     rows = [(1, "head " + base, "en", 505), (2, base + " tail", None, 505), (3, "é" * 10, "de", 10), (4, None, "de", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_removed string, n_chars long")
     got = sorted(map(tuple, s.keep(df).collect()))
     assert got == [(1, "head ", "en", 5), (2, " tail", None, 5), (3, "é" * 10, "de", 10), (4, "", "de", None)]
