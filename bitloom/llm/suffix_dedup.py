@@ -153,16 +153,14 @@ def _buckets(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(n)).astype(np.int32)
 
 
-def _dealt(block: int, bucket: np.ndarray, parts: list[np.ndarray], at: np.ndarray, n: int) -> pa.RecordBatch:
+def _dealt(block: int, bucket: np.ndarray, parts: list[np.ndarray], at: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket that the block has something for."""
     order = np.argsort(bucket, kind="stable")
-    ends = np.cumsum(np.bincount(bucket, minlength=n))
-    blobs, names = [], []
-    for k in range(n):
-        own = order[ends[k - 1] if k else 0 : ends[k]]
-        if len(own):
-            names.append(k)
-            blobs.append(pack([p[own] for p in parts], at[own]))
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([block] * len(names), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "packed"])
+    sorted_ = bucket[order]
+    begins = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    own = [order[b:e] for b, e in zip(begins, [*begins[1:], len(order)])]
+    blobs = [pack([p[x] for p in parts], at[x]) for x in own]
+    return pa.RecordBatch.from_arrays([pa.array(sorted_[begins], pa.int32()), pa.array([block] * len(own), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "packed"])
 
 
 def _one_bucket_at_a_time(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
@@ -223,7 +221,7 @@ def _samples(length: int, n: int):
                     at.append(own + lo)
                 if at:
                     k = np.concatenate(keys)
-                    yield _dealt(block, _buckets(k, n), [(k & np.uint64(0xFFFFFFFF)).astype("<u4"), (k >> np.uint64(48)).astype("<u2")], np.concatenate(at), n)
+                    yield _dealt(block, _buckets(k, n), [(k & np.uint64(0xFFFFFFFF)).astype("<u4"), (k >> np.uint64(48)).astype("<u2")], np.concatenate(at))
 
     return run
 
@@ -302,7 +300,7 @@ def _suffixes(length: int, n: int, rounds: int, turn: int):
                     at.append(own + lo)
                 if sum(map(len, at)):
                     k = np.concatenate(keys)
-                    yield _dealt(block, _buckets(k, n), [k.astype("<u8"), np.concatenate(more)], np.concatenate(at), n)
+                    yield _dealt(block, _buckets(k, n), [k.astype("<u8"), np.concatenate(more)], np.concatenate(at))
 
     return run
 
