@@ -90,3 +90,22 @@ def conversations(messages: DataFrame) -> DataFrame:
 
 def in_reply_order(threaded: DataFrame) -> DataFrame:
     return threaded.orderBy("conv_id", "root_turn", "turn")
+
+
+_SQL_UNITS = "list_distinct([y FOR y IN [lower(trim(regexp_replace(x, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) FOR x IN list_concat(regexp_split_to_array({0}, '\\n[ \\t]*\\n'), string_split({0}, chr(10)))] IF y <> ''])"
+ORACLE_SQL = rf"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS l FROM conversations),
+p AS (SELECT rid, conv_id, turn, role, range(1, len(l) + 1) AS ix, [length(regexp_replace(regexp_extract(x, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) FOR x IN l] AS k, [regexp_replace(x, '^(?:[ \t]*>)+[ \t]?', '') FOR x IN l] AS c FROM m),
+o AS (SELECT *, regexp_replace(array_to_string([c[i] FOR i IN ix IF k[i] = 0 AND NOT (regexp_matches(c[i], '(?:wrote|schrieb):[ \t]*$') AND coalesce(k[i + 1], 0) > 0)], chr(10)), '\A(?:[ \t]*\n)+|(?:\n[ \t]*)+\z', '', 'g') AS text, list_distinct([x FOR x IN k IF x > 0]) AS levels FROM p),
+v AS (SELECT conv_id, turn, ix, k, c, unnest(levels) AS level FROM o),
+t AS (SELECT conv_id, turn, level, array_to_string([CASE WHEN k[i] = level THEN c[i] ELSE '' END FOR i IN ix], chr(10)) AS text FROM v),
+q AS (SELECT conv_id, turn, level, unnest({_SQL_UNITS.format("text")}) AS unit FROM t),
+w AS (SELECT conv_id, turn, unnest({_SQL_UNITS.format("text")}) AS unit FROM o WHERE turn IS NOT NULL),
+g AS (SELECT conv_id, unit, min(turn) AS origin FROM w GROUP BY ALL),
+f AS (SELECT q.conv_id, q.turn, level, origin, sum(length(unit)) AS weight FROM q JOIN g USING (conv_id, unit) WHERE origin < turn GROUP BY ALL),
+b AS (SELECT conv_id, turn, origin AS parent_turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, weight DESC, origin DESC) AS r FROM f) WHERE r = 1),
+u AS (SELECT conv_id, turn, parent_turn AS root_turn, 1 AS depth FROM b UNION ALL SELECT u.conv_id, u.turn, b.parent_turn, u.depth + 1 FROM u JOIN b ON u.conv_id = b.conv_id AND u.root_turn = b.turn),
+z AS (SELECT conv_id, turn, min(root_turn) AS root_turn, max(depth) AS depth FROM u GROUP BY ALL)
+SELECT o.conv_id, o.turn, role, text, parent_turn, coalesce(z.root_turn, o.turn) AS root_turn, CAST(coalesce(depth, 0) AS BIGINT) AS depth, CAST(len(levels) AS BIGINT) AS n_quotes
+FROM o LEFT JOIN b USING (conv_id, turn) LEFT JOIN z USING (conv_id, turn)
+"""

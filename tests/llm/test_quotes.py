@@ -39,3 +39,15 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(*r,) for r in ROWS], "conv_id long, turn long, role string, text string")
     plan = quotes.conversations(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sql_twin(spark):
+    import duckdb
+
+    df = spark.createDataFrame([(*r,) for r in ROWS], "conv_id long, turn long, role string, text string")
+    names = ["conv_id", "turn", "role", "text", "parent_turn", "root_turn", "depth", "n_quotes"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", ROWS)
+    want = con.execute(quotes.ORACLE_SQL).fetchall()
+    assert sorted(map(str, map(tuple, quotes.conversations(df).select(names).collect()))) == sorted(map(str, want))
