@@ -96,6 +96,17 @@ def _native(df: DataFrame, column: str, schema: Schema, root: str, out: str) ->
     return df.withColumn(out, checked).drop(*helpers)
 
 
+def fields(df: DataFrame, column: str, schema: Schema, root: str, prefix: str = "") -> DataFrame:
+    """df with the message's top-level fields as columns, natively decoded. Each column is an
+    expression of its own, so Catalyst drops fields that nothing reads and pushes filters on one
+    field below the others. A null message gives nulls. Raises NotNative."""
+    got, value, need, helpers = NativeDecoder(schema).message(df, column, root)
+    size = F.octet_length(F.col(f"`{column}`"))
+    short = F.raise_error(F.concat(F.lit("INCOMPLETE_DATA: there are only "), size.cast("string"), F.lit(" bytes")))
+    names = [f.name for f in spark_type(schema, root)]
+    return got.withColumns({prefix + n: F.when(size < need, short).otherwise(value.getField(n)) for n in names}).drop(*helpers)
+
+
 def is_native(schema: Schema, root: str, df: DataFrame, column: str) -> bool:
     try:
         NativeDecoder(schema).message(df, column, root)

@@ -18,7 +18,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..errors import CodecError
 from ..operators.bits import Reader
-from ..operators.codec import _decoder, _key
+from ..operators.codec import _decoder, _key, decode
 from ..operators.decode_local import UINT
 from ..schema.model import Schema
 
@@ -168,3 +168,12 @@ def frame_stream(chunks: DataFrame, key: str, order: str, data: str, framing: Fr
     kind = chunks.schema[key].dataType.simpleString()
     rows = chunks.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(data).alias("data"))
     return rows.groupBy("key").transformWithStateInPandas(_Processor(framing, idle_ms), f"key {kind}, {OUT}", "Append", "ProcessingTime" if idle_ms else "None")
+
+
+def decode_stream(chunks: DataFrame, key: str, order: str, data: str, schema: Schema, root: str, framing: Framing | None = None) -> DataFrame:
+    """key, index, decoded, error: the messages of chunked connections, decoded. Without a framing
+    they are found greedily. With a length prefix, root is the type of prefix and body together."""
+    run = frame_stream if chunks.isStreaming else frames
+    found = run(chunks, key, order, data, framing or Framing.greedy(schema, root))
+    whole = found.withColumn("message", F.when(F.col("error").isNull(), F.col("message")))
+    return decode(whole, "message", schema, root).select("key", "index", "decoded", "error")
