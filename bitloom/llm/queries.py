@@ -80,6 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, quotes, token_rollup, warc
+    from . import decontaminate, quotes, suffix_dedup, token_rollup, warc
 
-    return {"op7_quotes": quotes.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op8_token_counts": token_rollup.ORACLE_SQL}
+    return {"op7_quotes": quotes.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op8_token_counts": token_rollup.ORACLE_SQL, "op9_suffix_dedup": suffix_dedup.ORACLE_SQL}

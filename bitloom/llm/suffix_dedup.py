@@ -404,3 +404,18 @@ def keep(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         kind = docs.schema["n_chars"].dataType
         flat = flat.withColumn("n_chars", F.when(F.col("__cut") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return flat.select(docs.columns)
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT rid, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400),
+k AS (SELECT rid, i, md5(substr(h, 2 * i + 1, 800)) AS key FROM w),
+s AS (SELECT rid, i FROM k WHERE key IN (SELECT key FROM k GROUP BY key HAVING count(*) > 1)),
+r AS (SELECT rid, min(i) AS b, max(i) + 400 AS e FROM (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run
+      FROM (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM s)) GROUP BY rid, run),
+p AS (SELECT rid, b, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY b), 0) AS a FROM r UNION ALL SELECT rid, n, coalesce(e, 0) FROM d LEFT JOIN (SELECT rid, max(e) AS e FROM r GROUP BY rid) USING (rid)),
+t AS (SELECT rid, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY b) AS kept FROM p JOIN d USING (rid) GROUP BY rid),
+c AS (SELECT rid, count(*) AS n_spans, sum(e - b) AS n_removed FROM r GROUP BY rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (rid) LEFT JOIN c USING (rid)
+"""
