@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +56,14 @@ def stored(df: DataFrame, name: str, drop: tuple[str, ...] = ()) -> DataFrame:
     return out
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done: it does so once their DataFrames
+    are collected as garbage, a moment later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows, else unchanged (then Spark joins
     by shuffle and splits skewed partitions). The count stops at the bound."""

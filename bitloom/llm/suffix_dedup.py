@@ -27,7 +27,6 @@ Cutting whole bytes may split a character: `kept` is bytes, and `kept_text` deco
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 from collections.abc import Iterator
@@ -37,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, width
+from .common import free, stored, width
 
 LENGTH = 400
 COVER_R = 2  # of the cover's construction
@@ -117,8 +116,8 @@ def _list(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
 
 
 def blocks(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The stored texts: block, ends (of each text within data), data, and `rest`, the carried
-    columns of each text."""
+    """The stored texts: block, ends (of each text within data), data (compressed), and `rest`, the
+    carried columns of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -128,7 +127,7 @@ def blocks(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: str
 
         def row() -> pa.RecordBatch:
             ends = np.cumsum([len(t) for t in texts], dtype=np.int64).tolist()
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ends], pa.list_(pa.int64())), pa.array([b"".join(texts)], pa.binary()), _list(rest, rest[0].type)], ["block", "ends", "data", "rest"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ends], pa.list_(pa.int64())), pa.array([_zipped(b"".join(texts))], pa.binary()), _list(rest, rest[0].type)], ["block", "ends", "data", "rest"])
 
         for batch in batches:
             first = 0
@@ -199,8 +198,21 @@ def _starts(ends: np.ndarray, total: int, size: int) -> np.ndarray:
     return np.cumsum(ok)[:total] > 0
 
 
+def _zipped(raw: bytes) -> bytes:
+    """Texts are stored and moved compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _unzipped(batch: pa.RecordBatch, i: int) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(batch.column("data")[i].as_buffer())
+
+
 def _row(batch: pa.RecordBatch, i: int, *names: str) -> list:
-    return [np.array(batch.column(n)[i].as_py(), np.int64) if n == "ends" else np.frombuffer(batch.column(n)[i].as_buffer(), np.uint8) if n == "data" else batch.column(n)[i].as_py() for n in names]
+    return [np.array(batch.column(n)[i].as_py(), np.int64) if n == "ends" else np.frombuffer(_unzipped(batch, i), np.uint8) if n == "data" else batch.column(n)[i].as_py() for n in names]
 
 
 def _samples(length: int, n: int):
@@ -256,7 +268,7 @@ def _candidates(length: int):
     def part(ends: np.ndarray, data: np.ndarray, own: np.ndarray, rest: pa.Array) -> list[pa.Array]:
         begins = np.r_[0, ends[:-1]]
         texts = b"".join([data[begins[k] : ends[k]].tobytes() for k in own])
-        return [pa.array([np.cumsum(ends[own] - begins[own]).tolist()], pa.list_(pa.int64())), pa.array([texts], pa.binary()), _list([rest.take(pa.array(own))], rest.type)]
+        return [pa.array([np.cumsum(ends[own] - begins[own]).tolist()], pa.list_(pa.int64())), pa.array([_zipped(texts)], pa.binary()), _list([rest.take(pa.array(own))], rest.type)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,17 +357,11 @@ def _texts(rest: pa.Array, kept: list[bytes], removed: list[int], spans: list[in
 def _uncut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            raw, ends = batch.column("data")[i].as_py(), batch.column("ends")[i].as_py()
+            raw, ends = _unzipped(batch, i), batch.column("ends")[i].as_py()
             own = [raw[b:e] for b, e in zip([0, *ends[:-1]], ends)]
             yield _texts(batch.column("rest")[i].values, own, [0] * len(own), [0] * len(own))
 
 
-def _free(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of rounds that are done."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def _collected(flags: DataFrame) -> DataFrame:
     return flags.groupBy("block").agg(F.collect_list("packed").alias("packed"))
 
@@ -366,23 +372,24 @@ def _sorted(rows: DataFrame, n: int) -> DataFrame:
 
 def cut(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length: int = LENGTH, text_col: str = "text") -> DataFrame:
     """For every row of docs: the carried columns as `rest`, kept (bytes), n_removed and n_spans."""
+    spark = docs.sparkSession
     texts = blocks(docs, carry, text_col)
     kind = texts.schema["rest"].dataType.simpleString()
     dealt, back = "bucket int, block long, packed binary", "block long, packed binary"
-    total = texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    n = max(width(texts.sparkSession), math.ceil(total / BUCKET_BYTES))
+    total = texts.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
+    n = max(width(spark), math.ceil(total / BUCKET_BYTES))
     names = stored(_sorted(texts.select("block", "ends", "data").mapInArrow(_samples(length, n), dealt), n).mapInArrow(_repeated_samples, back), "sample-ranks")
-    _free(texts)
+    free(spark)
     schema = f"block long, ends array<bigint>, data binary, rest {kind}, mask binary, n long, o_ends array<bigint>, o_data binary, o_rest {kind}"
     split = stored(texts.join(_collected(names), "block", "left").mapInArrow(_candidates(length), schema), "candidates", drop=(texts.inputFiles()[0].rpartition("/")[0],) if total else ())
-    _free(texts)
+    free(spark)
     count = split.agg(F.sum("n")).first()[0] or 0
     rounds = max(1, math.ceil(12 * count / max(1.0, ROUND_SHARE * total)))
     singles = None
     for turn in range(rounds):
         found = stored(_sorted(split.select("block", "data", "mask").mapInArrow(_suffixes(length, n, rounds, turn), dealt), n).mapInArrow(_singles, back), "singles")
         singles = found if singles is None else singles.union(found)
-        _free(texts)
+        free(spark)
     out = f"rest {kind[6:-1]}, kept binary, n_removed long, n_spans long"
     touched = split.select("block", "ends", "data", "rest", "mask").join(_collected(singles), "block", "left").mapInArrow(_cut(length), out)
     others = split.select(F.col("o_ends").alias("ends"), F.col("o_data").alias("data"), F.col("o_rest").alias("rest")).mapInArrow(_uncut, out)
