@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small, stored, width
+from .common import free, scratch_path, small, stored, width
 
 ARCHIVE_BYTES, MIN_REVISIT = 64 << 20, 1000
+ROUNDS = 3  # archives are written a third at a time, so that a third of the payloads is in shuffle files
 GAP, READ = 1 << 20, 8 << 20  # ranges this close are read together, up to about this much at once
 END = "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"  # the tables have no date of capture
@@ -84,8 +85,10 @@ def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, min_r
     sized = placed(narrow).withColumn("length", length.cast("long"))
     index = stored(sized.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select("archive", "offset", "length", "page_id", "url", "digest"), "warc-index")
     value = F.concat("header", F.when(F.col("refers_to").isNotNull(), "").otherwise(F.col("html"))).alias("value")
-    rows = placed(_measured(pages)).repartition(n, "archive").sortWithinPartitions(*SORT)
-    rows.select("archive", value).write.partitionBy("archive").option("lineSep", END).text(path)
+    for turn in range(ROUNDS):
+        rows = placed(_measured(pages)).where(F.col("archive") % ROUNDS == turn).repartition(max(1, n // ROUNDS), "archive").sortWithinPartitions(*SORT)
+        rows.select("archive", value).write.mode("append").partitionBy("archive").option("lineSep", END).text(path)
+        free(pages.sparkSession)
     return index
 
 
