@@ -127,13 +127,14 @@ def _verify(block: int | None):
             keys = np.r_[keys, batch.column(0).to_numpy()]
             fps = np.r_[fps, batch.column(1).to_numpy().view(np.uint64)]
             last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last key may go on
+            before = hot  # its last rows may lie in front of the next hot key's
             if block and len(keys) - last > block:
                 hot, last = keys[-1], len(keys)
             if last:
                 k, f = keys[:last], fps[:last]
                 keys, fps = keys[last:], fps[last:]
                 names, sizes = np.unique(k, return_counts=True)
-                big = np.isin(k, names[sizes > block]) | (k == hot) if block else np.zeros(len(k), bool)
+                big = np.isin(k, names[sizes > block]) | (k == hot) | (k == before) if block else np.zeros(len(k), bool)
                 if big.any():
                     yield passed(k[big], f[big])
                 yield links(k[~big], f[~big])

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -64,3 +66,18 @@ def test_matches_brute_force(spark, block):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+@pytest.mark.parametrize("size", [7, 100, 1000])
+def test_adjacent_hot_keys_pass_whole(size):
+    """However the sorted rows are cut into batches, a hot key's rows are all passed on."""
+    counts = {1: 3, 2: 1300, 3: 800, 4: 1001, 5: 2, 6: 450}
+    keys = np.repeat(list(counts), list(counts.values()))
+    fps = np.random.default_rng(1).integers(0, 1 << 62, len(keys))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(fps[i : i + size])], ["key", "fp"]) for i in range(0, len(keys), size)]
+    passed = {}
+    for out in simhash._verify(400)(iter(batches)):
+        for key, fp in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            if key is not None:
+                passed.setdefault(key, []).append(fp)
+    assert passed == {k: fps[keys == k].tolist() for k, n in counts.items() if n > 400}
