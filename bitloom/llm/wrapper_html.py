@@ -5,7 +5,9 @@ comments, character references). Per host a bounded sample of about `sample` pag
 and without repeated articles, is aligned by simple tree matching: nodes that match through nearly all pages and always have the
 same text are the host's template; slots whose text varies are content. Of the slots, those in
 boilerplate regions are dropped: regions named by their element (nav, header, footer, aside, form,
-...) or by a word of their class, id or role (menu, sidebar, ad, notice, comments, ...). If a page
+...) or by a word of their class, id or role (menu, sidebar, ad, notice, comments, ...). Such words
+say nothing of html, body, main and article, nor of an element around main or the marked article
+or around over half of the text of the article or, if none is marked, of the page. If a page
 marks its article (article, main), only that region counts. A wrapper is the set of template nodes, each
 a path of tags with a hash of its text; a host whose sample has fewer than three different pages has
 an empty wrapper, and its pages are cut by regions alone. Pages then meet their host's wrapper and
@@ -41,6 +43,7 @@ RAW = frozenset("script style noscript template iframe textarea title xmp noembe
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tbody", "thead"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "body": {"head"}}
 SCOPE = frozenset("ul ol dl table td th div article section main aside nav header footer form body html blockquote button".split())
 SKIP = frozenset("nav header footer aside form script style noscript template iframe textarea title head button select option input svg canvas object embed audio video menu dialog math search label fieldset".split())
+WHOLE = frozenset("html body main article".split())  # are no regions whatever their class says
 #: Words of a class, id or role that name a boilerplate region.
 REGION = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox banner promo promoted promotion sponsor sponsored sponsors nav navbar navigation navlinks menu menubar breadcrumb breadcrumbs header masthead topbar footer footnav bottombar copyright legal sidebar aside complementary rail widget widgets notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations teaser teasers trending comment comments commentlist reply replies respond disqus discussion pagination pager skip toolbar contentinfo search form".split())
 TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -49,7 +52,7 @@ WORDS, BLANK = re.compile(r"[A-Za-z]+"), re.compile(r"[ \t\n\r\f\v  -  
 
 
 class Node:
-    __slots__ = ("tag", "name", "region", "children", "parent")
+    __slots__ = ("tag", "name", "region", "children", "parent", "chars")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
@@ -57,7 +60,7 @@ class Node:
         self.name = tag + "".join("." + x for x in sorted(found.get("class", "").lower().split()))
         own = " ".join(found.values())
         words = {w.lower() for w in WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", own))} if own else ()
-        self.region = tag in SKIP or any(w in REGION for w in words)
+        self.region = tag in SKIP or tag not in WHOLE and any(w in REGION for w in words)
 
 
 def parse(text: str) -> Node:
@@ -106,9 +109,53 @@ def parse(text: str) -> Node:
                 at = n if end < 0 else (text.find(">", end) + 1 or n)
             elif tag not in VOID and not (m[5] or "").endswith("/"):
                 here = node
+    _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Words of a class name no region where they would take the article with them: around main,
+    around the marked article, and around over half of the text if no article is marked outside."""
+    nodes, named = [root], False
+    for node in nodes:
+        if node.tag not in SKIP:
+            named |= node.region
+            nodes += [c for c in node.children if isinstance(c, Node)]
+    if not named:
+        return
+    for node in reversed(nodes):
+        node.chars = 0 if node.tag in SKIP else sum(c.chars if isinstance(c, Node) else len(c.strip()) for c in node.children)
+
+    def around(node: Node) -> list[Node]:
+        out = []
+        while node.parent is not None:
+            node = node.parent
+            if node.region:
+                out.append(node)
+        return out
+
+    for node in nodes:
+        if node.tag == "main":
+            for up in around(node):
+                up.region = False
+    articles = [(n, around(n)) for n in nodes if n.tag == "article"]
+    least = min((len(ups) for _, ups in articles), default=0)
+    own = [(n, ups) for n, ups in articles if len(ups) == least]
+    outside = root.chars - sum(n.chars for n in nodes if n.region and n.tag not in SKIP and not around(n))
+    if least and (len(own) == 1 or sum(n.chars for n, _ in own) >= outside):
+        for up in [up for _, ups in own for up in ups]:
+            up.region = False
+    marked = set(_article(root))
+    total = sum(n.chars for n in marked)
+    for node in nodes:  # outer ones first
+        if node.region and node.tag not in SKIP and 2 * node.chars > total:
+            up = node
+            while up is not None and up not in marked:
+                up = up.parent
+            if up is not None:
+                node.region = False
+
+
 def _article(root: Node) -> list[Node]:
     """The marked article regions outside boilerplate, or the root."""
     for wanted in (lambda x: x.tag == "article", lambda x: x.tag == "main"):

@@ -45,3 +45,14 @@ def test_matching_aligns_in_order():
     a, b = w.parse("<div><p>x</p><ul></ul><p>y</p></div>"), w.parse("<div><p>x</p><p>y</p></div>")
     pairs = []
     assert w._matched(a, b, pairs) == 4 and len(pairs) == 4
+
+
+def test_class_words_do_not_take_the_article():
+    page = '<html class="no-sidebar"><body class="single has-sidebar comments-open"><div class="sidebar">s</div>%s<div id="comments">first!</div></body></html>'
+    text = "a long text " * 5
+    for inner in ("<p>{}</p>", '<main class="with-sidebar"><p>{}</p></main>', '<article class="post category-legal"><p>{}</p></article>', '<div class="layout has-sidebar"><div class="ad">buy</div><article class="post"><p>{}</p></article></div>', '<div class="content with-sidebar"><p>{}</p></div>', '<article><div class="post with-comments"><p>{}</p></div><div class="share">x</div></article>', '<div class="has-header"><main><p>{}</p></main></div>'):
+        assert w.extract(page % inner.format(text)) == text.strip(), inner
+    # Boilerplate stays out, be it longer than the article or made of articles.
+    assert w.extract(f"<article><p>short</p></article><div id=comments><p>{text}</p></div>") == "short"
+    assert w.extract(f"<div><p>{text}</p></div><div class=related><article>t</article><article>u</article></div>") == text.strip()
+    assert w.extract(f"<div class=has-sidebar><article><p>{text}</p></article><div class=related><article>t</article></div></div>") == text.strip()
