@@ -1,31 +1,34 @@
 """Main text of HTML pages by wrapper induction.
 
 Pages are parsed into DOM trees (void elements, optional end tags, raw text of scripts and styles,
-comments, character references). Per host a bounded sample of about `sample` pages, chosen by hash
-and without repeated articles, is aligned by simple tree matching: nodes that match through nearly all pages and always have the
-same text are the host's template; slots whose text varies are content. Of the slots, those in
+comments, character references). All pages of a host are aligned by the path of each block, a path of
+tags with their classes: a text that nearly all pages with a path have at it is the host's template;
+slots whose text varies are content. So each layout of a host, having paths of its own, is compared
+with its like, however many siblings or elements its pages have. Nodes are counted by
+(host, path, text) over all pages, not matched tree by tree; pages with the same whole text count
+once. A path on less than a twentieth of a host's pages is no layout, lest what a few near copies
+share be taken for template. Of the slots, those in
 boilerplate regions are dropped: regions named by their element (nav, header, footer, aside, form,
 ...) or by a word of their class, id or role (menu, sidebar, ad, notice, comments, ...). Such words
 say nothing of html, body, main and article, nor of an element around main or the marked article
 or around over half of the text of the article or, if none is marked, of the page. If a page
-marks its article (article, main), only that region counts. A wrapper is the set of template nodes, each
-a path of tags with a hash of its text; a host whose sample has fewer than three different pages has
+marks its article (article, main), only that region counts. A wrapper is the set of
+template nodes, each a hash of its path and text; a host with fewer than three different pages has
 an empty wrapper, and its pages are cut by regions alone. Pages then meet their host's wrapper and
-are extracted where they are.
+are extracted where they are. `_matched`, simple tree matching of two trees, is not used for this:
+its cost is the product of two pages' siblings.
 
 Defined results: a null or empty html gives ""; text outside any element is a block; a page without
 a parsable host belongs to host ""; repeated rows are each extracted; an empty table gives an empty
-result; extra columns are ignored. The sample bounds what the wrapper is learned from, never what
-is extracted.
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,7 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import small, stored
 
-SAMPLE, AGREE, TEMPLATE_CHARS = 8, 0.9, 400  # a constant text longer than this is content that repeats, not template
+# A template node is on AGREE of the host's pages that have its path; these are LEAST pages and LAYOUT of the host's at least.
+LEAST, AGREE, LAYOUT = 3, 0.9, 0.05
 # Fixed values of HTML: elements without content, elements that start a block, what ends an open element.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -215,8 +219,12 @@ def extract(html: str | None, template: frozenset = frozenset()) -> str:
     return "\n".join(t for p, t in text_blocks(parse(html)) if not template or key(p, t) not in template)
 
 
-def key(path: str, text: str) -> str:
-    return f"{zlib.crc32(path.encode()):08x}{zlib.crc32(text.encode()):08x}"
+def hashed(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def key(path: str, text: str) -> int:
+    return hashed(path + "\n" + text)
 
 
 def _matched(a: Node, b: Node, pairs: list) -> int:
@@ -248,86 +256,37 @@ def _matched(a: Node, b: Node, pairs: list) -> int:
     return best[-1][-1] + 1
 
 
-def _path(node: Node) -> str:
-    names = []
-    while node is not None and node.tag:
-        names.append(node.name)
-        node = node.parent
-    return "/".join(reversed(names))
-
-
-def _own_text(node: Node) -> str:
-    """Text of a node outside its inner blocks."""
-    out, todo = [], list(reversed(node.children))
-    while todo:
-        c = todo.pop()
-        if isinstance(c, str):
-            out.append(c)
-        elif c.tag == "br":
-            out.append(" ")
-        elif c.tag not in BLOCK and not c.region:
-            todo += reversed(c.children)
-    return BLANK.sub(" ", "".join(out)).strip(" ")
-
-
-def _pruned(html: str, most: int = 400) -> Node:
-    """A tree whose long runs of like siblings are cut, so that matching stays cheap."""
-    root = parse(html)
-    todo, count = [root], 0
-    while todo:
-        node = todo.pop()
-        seen: Counter = Counter()
-        kept = []
-        for c in node.children:
-            if isinstance(c, Node):
-                seen[c.name] += 1
-                count += 1
-                if seen[c.name] > 12 or count > most:
-                    continue
-                todo.append(c)
-            kept.append(c)
-        node.children = kept
-    return root
-
-
-def induce(pages: list[str]) -> list[str]:
-    """The wrapper of pages of one host: keys of template nodes."""
-    distinct, trees = set(), []
-    for h in pages:
-        longest = max((t for _, t in text_blocks(parse(h))), key=len, default="")
-        if longest and longest[:80] not in distinct and longest[-80:] not in distinct:
-            distinct |= {longest[:80], longest[-80:]}
-            trees.append(_pruned(h))
-    if len(trees) < 3:
-        return []
-    same: Counter = Counter()
-    for other in trees[1:]:
-        pairs: list = []
-        _matched(trees[0], other, pairs)
-        hit = {(_path(a), _own_text(a)) for a, b in pairs if a.tag in BLOCK and _own_text(a) == _own_text(b)}
-        same.update(hit)
-    return sorted({key(p, t) for (p, t), n in same.items() if t and len(t) <= TEMPLATE_CHARS and n >= AGREE * (len(trees) - 1)})
+def _content(html: str | None) -> tuple[int, list[int], list[int]]:
+    """Of a page: a hash of all its text, and its distinct blocks as hashes of path and of both."""
+    found = text_blocks(parse(html)) if html else []
+    blocks = {key(p, t): hashed(p) for p, t in found}
+    return hashed("\n".join(t for _, t in found)), list(blocks.values()), list(blocks)
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """host, template for hosts of three pages or more. pages: host, html, and pick, a uniform long."""
-    counts = pages.groupBy("host").count().where("count >= 3")
-    share = F.least(F.lit(1.0), sample / F.col("count"))
-    chosen = pages.join(small(stored(counts, "hosts")), "host").where(F.col("pick") < share * (1 << 40)).select("host", "html")
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, template (keys of template nodes) from all pages: host, html."""
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = sorted(set(pdf["html"].dropna()), key=lambda h: zlib.crc32(h.encode()))[: 4 * sample]
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [json.dumps(induce(own))]})
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_content(h.as_py()) for h in batch.column(1)]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), longs, longs)))], ["host", "content", "paths", "keys"])
 
-    return chosen.groupBy("host").applyInPandas(learn, "host string, template string").where("template <> '[]'")
+    # Copies of a page count once. Both counts are partial before the shuffle, so no host or key is hot.
+    read_ = pages.mapInArrow(read, "host string, content long, paths array<bigint>, keys array<bigint>").where("size(keys) > 0")
+    pages_ = stored(read_.groupBy("host", "content").agg(F.first(F.struct("paths", "keys")).alias("x")).select("host", "x.*"), "wrapper-pages")
+    hosts = pages_.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    paths = pages_.select("host", F.explode(F.array_distinct("paths")).alias("path")).groupBy("host", "path").agg(F.count("*").alias("of"))
+    keys = pages_.select("host", F.explode(F.arrays_zip("paths", "keys")).alias("x")).groupBy("host", F.col("x.paths").alias("path"), F.col("x.keys").alias("key")).agg(F.count("*").alias("found")).where(F.col("found") >= LEAST)
+    same = stored(keys.join(paths, ["host", "path"]).where(F.col("found") >= AGREE * F.col("of")), "wrapper-keys")
+    return same.join(small(stored(hosts, "hosts")), "host").where(F.col("of") >= LAYOUT * F.col("n")).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("template"))
 
 
-def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host.alias("host"))
-    pick = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40))
-    learned = stored(wrappers(src.select("host", "html", pick.alias("pick")), sample), "wrappers")
+    learned = stored(wrappers(src.select("host", "html")).withColumn("template", F.to_json("template")), "wrappers")
     known: dict[str, frozenset] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,3 +56,21 @@ def test_class_words_do_not_take_the_article():
     assert w.extract(f"<article><p>short</p></article><div id=comments><p>{text}</p></div>") == "short"
     assert w.extract(f"<div><p>{text}</p></div><div class=related><article>t</article><article>u</article></div>") == text.strip()
     assert w.extract(f"<div class=has-sidebar><article><p>{text}</p></article><div class=related><article>t</article></div></div>") == text.strip()
+
+
+def test_template_is_learned_from_all_pages_of_each_layout(spark):
+    rnd = random.Random(5)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    legal = text(120)  # longer than any article
+    rows, want = [], {}
+    for i in range(60):
+        body = [text(12) for _ in range(rnd.randint(10, 30))]
+        paragraphs = "".join(f"<p>{t}</p>" for t in body)
+        if i % 3:
+            page = f"<body><div class=a><p>Start here</p>{paragraphs}<p>Closing words</p><p>{legal}</p></div></body>"
+        else:
+            page = f"<body><div class=b><span>Other layout</span>{paragraphs}<p>Its end</p></div></body>"
+        rows.append((i, f"http://two.example/{i}", page))
+        want[i] = "\n".join(body)
+    out = w.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == want
