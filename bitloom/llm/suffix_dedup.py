@@ -1,23 +1,25 @@
-"""Removal of repeated passages: blockwise suffix sorting with a difference cover.
+"""Removal of repeated passages: hashes of strings, with a difference cover as a filter.
 
 Wanted are all suffixes (starts of `length`-byte strings) whose first `length` bytes occur anywhere
-else. Sorting all suffixes of a corpus would move many times its size, so it is built blockwise:
+else. This takes the place of a difference-cover suffix sort: no suffix is sorted, no rank of a
+cover sample is computed, and strings are the same if 80 bits of their hashes are.
 
 1. The cover sample. A difference cover D modulo v has, for any two positions p and q, a shift
    k < v with p + k and q + k both in D (mod v). Only positions in D are sampled, each named by its
-   next length - v + 1 bytes, and names are ranked once as "occurs twice" or "single".
+   next length - v + 1 bytes (48 bits of their hash), and names are told once as "occurs twice" or
+   "single".
 2. Candidates. If the strings at p and q are equal, the sample at p + k has a repeated name for the
    cover's k. So a suffix is a candidate only if, within v bytes, a sample has a repeated name: the
-   precomputed sample ranks settle nearly all suffixes without sorting them.
-3. Blocks. Candidates are sorted one suffix bucket at a time: a round takes the suffixes whose
+   samples settle nearly all suffixes without comparing them.
+3. Blocks. Candidates are grouped one bucket of hashes at a time: a round takes the suffixes whose
    string hash falls in one slice, so that a round ships a fixed share of the text at most; within
-   it tasks sort one bucket after the other. Long ties, that is strings of the full length,
-   are decided by 80 bits of two rolling hashes. Singles go back to their texts, and each byte
+   it tasks group one bucket after the other by 80 bits of two rolling hashes of the full
+   length; bytes are never compared. Singles go back to their texts, and each byte
    covered by a candidate that isn't single is removed.
 
 Texts are stored in blocks of whole documents, and all positions are positions in a block, so
-suffixes travel as packed arrays and no row is made per suffix. A string that very many documents
-share meets in one bucket as packed arrays of 12 bytes an occurrence.
+suffixes travel as packed arrays and no row is made per suffix. A block sends two occurrences of a
+string or sample at most, so one that is in very many places meets as two for each block.
 
 Defined results: a null text counts as empty; a text shorter than `length` keeps all its bytes;
 matches never cross documents; overlapping strings of one document count; repeated rows repeat
@@ -215,25 +217,43 @@ def _row(batch: pa.RecordBatch, i: int, *names: str) -> list:
     return [np.array(batch.column(n)[i].as_py(), np.int64) if n == "ends" else np.frombuffer(_unzipped(batch, i), np.uint8) if n == "data" else batch.column(n)[i].as_py() for n in names]
 
 
-def _samples(length: int, n: int):
+def _first_two(keys: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """Increasing indices of the first two of each key (with `more`, of each pair): all that other
+    blocks need to know of a block."""
+    if len(keys) < 3:
+        return np.arange(len(keys))
+    order = np.argsort(keys, kind="stable") if more is None else np.lexsort((more, keys))
+    third = keys[order[2:]] == keys[order[:-2]]
+    if more is not None:
+        third &= more[order[2:]] == more[order[:-2]]
+    return np.sort(order[np.r_[True, True, ~third]])
+
+
+def _sampled(ends: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit names and positions of a block's cover samples."""
     v, d = cover()
-    size = length - v + 1
+    size, h = length - v + 1, hasher()
+    begins = np.repeat(np.r_[0, ends[:-1]], np.diff(ends, prepend=0)) if len(data) else np.zeros(0, np.int64)
+    picked = _starts(ends, len(data), size) & np.isin(np.arange(v), d)[(np.arange(len(data)) - begins) % v]
+    keys, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo, tile in _tiles(data, size):
+        own = np.flatnonzero(picked[lo : lo + len(tile) - size + 1])
+        k = h.windows(tile, size)[own]
+        keys.append(k & np.uint64(0xFFFFFFFF) | k >> np.uint64(48) << np.uint64(32))
+        at.append(own + lo)
+    return np.concatenate(keys), np.concatenate(at)
+
 
+def _samples(length: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = hasher()
         for batch in batches:
             for i in range(batch.num_rows):
                 block, ends, data = _row(batch, i, "block", "ends", "data")
-                begins = np.repeat(np.r_[0, ends[:-1]], np.diff(ends, prepend=0)) if len(data) else np.zeros(0, np.int64)
-                picked = _starts(ends, len(data), size) & np.isin(np.arange(v), d)[(np.arange(len(data)) - begins) % v]
-                keys, at = [], []
-                for lo, tile in _tiles(data, size):
-                    own = np.flatnonzero(picked[lo : lo + len(tile) - size + 1])
-                    keys.append(h.windows(tile, size)[own])
-                    at.append(own + lo)
-                if at:
-                    k = np.concatenate(keys)
-                    yield _dealt(block, _buckets(k, n), [(k & np.uint64(0xFFFFFFFF)).astype("<u4"), (k >> np.uint64(48)).astype("<u2")], np.concatenate(at))
+                k, at = _sampled(ends, data, length)
+                own = _first_two(k)
+                k, at = k[own], at[own]
+                if len(at):
+                    yield _dealt(block, _buckets(k, n), [(k & np.uint64(0xFFFFFFFF)).astype("<u4"), (k >> np.uint64(32)).astype("<u2")], at)
 
     return run
 
@@ -277,6 +297,9 @@ def _candidates(length: int):
                 rest = batch.column("rest")[i].values
                 near = np.zeros(len(data) + 1, np.int32)
                 at = _positions(blobs or [])
+                if len(at):  # with them all samples of the block that have their names
+                    k, all_ = _sampled(ends, data, length)
+                    at = all_[np.isin(k, k[np.searchsorted(all_, at)])]
                 np.add.at(near, np.maximum(at - v + 1, 0), 1)
                 np.add.at(near, at + 1, -1)
                 mask = (np.cumsum(near)[:-1] > 0) & _starts(ends, len(data), length)
@@ -311,8 +334,9 @@ def _suffixes(length: int, n: int, rounds: int, turn: int):
                     more.append((g.windows(tile, length)[own] >> np.uint64(48)).astype("<u2"))
                     at.append(own + lo)
                 if sum(map(len, at)):
-                    k = np.concatenate(keys)
-                    yield _dealt(block, _buckets(k, n), [k.astype("<u8"), np.concatenate(more)], np.concatenate(at))
+                    k, m = np.concatenate(keys), np.concatenate(more)
+                    own = _first_two(k, m)  # what comes third is no single
+                    yield _dealt(block, _buckets(k[own], n), [k[own].astype("<u8"), m[own]], np.concatenate(at)[own])
 
     return run
 

@@ -69,3 +69,19 @@ def test_keep_cuts_texts_and_carries_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_removed string, n_chars long")
     got = sorted(map(tuple, s.keep(df).collect()))
     assert got == [(1, "head ", "en", 5), (2, " tail", None, 5), (3, "é" * 10, "de", 10), (4, "", "de", None)]
+
+
+def test_block_sends_two_of_a_string_at_most():
+    """A string in very many places of a block meets in its bucket as two, not as its positions."""
+    import numpy as np
+    import pyarrow as pa
+
+    raw, length = b"x" * 5000 + bytes(random.Random(2).choices(range(97, 123), k=800)), 400
+    places = len(raw) - length + 1
+    mask = np.packbits(np.r_[np.ones(places, bool), np.zeros(length - 1, bool)])
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([[len(raw)]], pa.list_(pa.int64())), pa.array([s._zipped(raw)], pa.binary()), pa.array([mask.tobytes()], pa.binary())], ["block", "ends", "data", "mask"])
+    for made, kinds, size in ((s._suffixes(length, 3, 1, 0), ["<u8", "<u2"], length), (s._samples(length, 3), ["<u4", "<u2"], None)):
+        sent = [x for out in made(iter([batch])) for b in out.column("packed").to_pylist() for x in zip(*s.unpack(b, kinds)[0])]
+        assert max(collections.Counter(sent).values()) == 2
+        if size:
+            assert len(set(sent)) == len({raw[k : k + size] for k in range(places)})
