@@ -15,6 +15,12 @@ def window(data: Column, at: Column | int, n: Column | int) -> Column:
     return F.substring(data, (at + 1).try_cast("int"), n.try_cast("int"))
 
 
+def once(value: Column) -> Column:
+    """value, computed once a row: Catalyst neither copies a nondeterministic column into what uses
+    it nor pushes a filter below it. (A partition's number is never below 0, which Catalyst doesn't know.)"""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def digits(raw: Column, size: int, big: bool) -> Column:
     """Hex digits of `size` bytes, most significant first."""
     h = F.hex(raw)
@@ -75,14 +81,17 @@ def hex_integer(value: Column, size: int, big: bool = True, signed_: bool = Fals
 
 
 def leb128(data: Column, at: Column | int = 0, most: int = 9) -> Column:
-    """struct(value, size) of an unsigned LEB128 integer, folded over at most `most` bytes."""
+    """struct(value, size) of an unsigned LEB128 integer of at most `most` bytes and 63 bits; an
+    error where it goes on, or where the data end within it."""
     start = F.struct(F.lit(0).cast("long").alias("value"), F.lit(0).alias("size"), F.lit(True).alias("open"))
+    wrong = F.raise_error(F.lit("INVALID_ENCODING: a leb128 integer is too long or ends early"))
 
     def step(acc: Column, k: Column) -> Column:
         b = unsigned(window(data, F.lit(at) + k if isinstance(at, int) else at + k, 1), 1)
         return F.when(acc["open"], F.struct((acc["value"] + b.bitwiseAND(127) * F.pow(F.lit(128.0), k.cast("double")).cast("long")).alias("value"), (acc["size"] + 1).alias("size"), (b >= 128).alias("open"))).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), start, step, lambda a: F.struct(a["value"].alias("value"), a["size"].alias("size")))
+    done = lambda a: F.struct(F.when(F.coalesce(a["open"], F.lit(True)), wrong.cast("long")).otherwise(a["value"]).alias("value"), a["size"].alias("size"))
+    return F.when(data.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), start, step, done))
 
 
 def crc32(data: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import binary, expr
 from ..schema.model import FLOATS, INTEGERS, Schema
 from .decode_local import UINT
+from .layout import static_bits
 from .types import spark_type, variants
 
 
@@ -22,45 +23,6 @@ class NotNative(Exception):
     """A schema type, or a part of one, that Column expressions can't decode or encode."""
 
 
-def static_bits(schema: Schema, spec: dict | str, open_: tuple = ()) -> int | None:
-    """Size in bits if it never varies. A composite fills its last byte only when it is encoded on its own."""
-    if isinstance(spec, str) or spec.get("type") in schema.types:
-        name = spec if isinstance(spec, str) else spec["type"]
-        if name in open_:
-            return None
-        if name in schema.types:
-            own = schema.types[name]
-            if own.get("instances"):
-                return None
-            if "sequence" not in own:
-                return 8 * UINT[own["repr"]] if own.get("type") == "enum" else static_bits(schema, own, (*open_, name))
-            total = 0
-            for f in own["sequence"]:
-                n = None if "conditional" in f or f["type"] == "padding" else static_bits(schema, f, (*open_, name))
-                if n is None:
-                    return None
-                total += n
-            return total
-        return static_bits(schema, {"type": name}, open_)
-    kind = spec["type"]
-    if kind in INTEGERS:
-        return 8 * INTEGERS[kind][0]
-    if kind in FLOATS:
-        return 8 * FLOATS[kind]
-    if kind == "bool":
-        return 8
-    if kind in ("bit", "int"):
-        return spec.get("size", 1)
-    if kind == "bitfield":
-        return sum(x["size"] for x in spec["fields"])
-    if kind in ("string", "bytes") and spec.get("kind", "fixed") == "fixed":
-        return 8 * spec["length"]
-    if kind == "array" and spec["kind"] == "fixed":
-        n = static_bits(schema, spec["items"], open_)
-        return n * spec["length"] if n is not None and (n % 8 == 0) else None
-    return None
-
-
 @dataclass
 class _State:
     """Where the next field starts: `base` (a Column, or None at the message's start) plus `bits`."""
@@ -77,7 +39,7 @@ class _State:
 
     def helper(self, column: Column) -> Column:
         name = f"__bitloom_{len(self.helpers)}"
-        self.df = self.df.withColumn(name, column)
+        self.df = self.df.withColumn(name, binary.once(column))
         self.helpers.append(name)
         return F.col(f"`{name}`")
 
@@ -344,7 +306,7 @@ class _HexEncoder:
             if f["type"] in ("bit", "bitfield"):
                 for name, n in [(x["name"], x["size"]) for x in f["fields"]] if f["type"] == "bitfield" else [(None, f.get("size", 1))]:
                     own = value.getField(f["name"]) if name is None else value.getField(f["name"]).getField(name)
-                    held.append((F.lit(f["const"]).cast("long") if "const" in f else F.coalesce(own.cast("long"), F.lit(0)), n))
+                    held.append((F.lit(f["const"]).cast("long") if "const" in f else self.required(f["name"], own, own.cast("long")), n))
                 if sum(n for _, n in held) % 8 == 0:
                     parts.append((f["name"], self.packed(held)))
                     held = []
@@ -359,8 +321,10 @@ class _HexEncoder:
                 raise NotNative("padding")
             else:
                 own = self.element(f, value.getField(f["name"]), spec, open_)
+                if f["type"] != "optional":
+                    own = self.required(f["name"], value.getField(f["name"]), own)
                 if "conditional" in f:
-                    look = lambda p, v=value: self.path(v, p)
+                    look = lambda p, v=value: self.known(sequence, v, p)
                     own = F.when(expr.condition(expr.parse(f["conditional"]), look), own).otherwise(F.lit(""))
                 parts.append((f["name"], own))
             if parts[-1][1] is not None:
@@ -373,6 +337,19 @@ class _HexEncoder:
             out.append(part if part is not None else self.computed(fields[name], fields, value, done, parts))
         return F.concat(*out) if out else F.lit("")
 
+    def required(self, name: str, given: Column, out: Column) -> Column:
+        return F.when(given.isNull(), F.raise_error(F.lit(f"SCHEMA_MISMATCH: field {name!r} is missing"))).otherwise(out)
+
+    def known(self, sequence: list[dict], value: Column, path: str) -> Column:
+        """What a condition compares: of an enum the number."""
+        own = next((self.schema.types.get(f["type"], {}) for f in sequence if f.get("name") == path), {})
+        if own.get("type") != "enum":
+            return self.path(value, path)
+        out, name = None, value.getField(path)
+        for n, code in own["variants"].items():
+            out = F.when(name == n, F.lit(code)) if out is None else out.when(name == n, F.lit(code))
+        return out
+
     def path(self, value: Column, path: str) -> Column:
         for p in path.split("."):
             value = value.getField(p)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.columns import static_bits
+from ..operators.layout import static_bits
 from .model import Schema
 
 
