@@ -106,7 +106,7 @@ def test_plan_is_native_and_pruned(spark, tmp_path):
     s = load({"types": {"R": {"sequence": [{"name": "a", "type": "uint32"}, {"name": "b", "type": "uint32"}]}}})
     path = f"{tmp_path}/t"
     spark.range(10).select(F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("w"), F.lit("x").alias("other")).write.parquet(path)
-    plan = codec.decode(spark.read.parquet(path), "w", s, "R", "m").select("m.b")._jdf.queryExecution().toString()
+    plan = codec.decode(spark.read.parquet(path), "w", s, "R", "m", native=True).select("m.b")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "other" not in plan.split("ReadSchema")[-1]
 
 
