@@ -45,7 +45,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     few megabytes, it is spread over all cores. Larger tables are read where they lie."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if SPREAD[0] <= size <= SPREAD[1] else df
+    # By a column's hash: dealing rows out in turn sorts them all first.
+    return df.repartition(spark.sparkContext.defaultParallelism, df.columns[0]) if SPREAD[0] <= size <= SPREAD[1] else df
 
 
 def schema(types: dict, little: bool = False, lsb: bool = False, protocol: dict | None = None) -> Schema:
@@ -89,7 +90,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
           CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, CAST(max(l_orderkey) AS BIGINT) AS last_order
           FROM lineitem GROUP BY 1, 2""")
 def fixed_records(spark, sf_dir):
-    m = codec.fields(_lines(spark, sf_dir), "wire", LINE, "Line")
+    m = codec.decode(_lines(spark, sf_dir), "wire", LINE, "Line", "m").select("m.*")
     return m.groupBy("flag", "status").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"), F.sum("cents").alias("cents"), F.max("orderkey").alias("last_order"))
 
 
@@ -104,7 +105,7 @@ def filter_before_payload(spark, sf_dir):
 def wire_image(spark, sf_dir):
     s = schema({"W": seq(field("a", "uint16"), field("b", "uint32"), field("c", "uint16", endianness="little_endian"))})
     o = table(spark, sf_dir, "orders")
-    w = codec.encode(o, F.struct((F.col("o_orderkey") % 65536).alias("a"), F.col("o_custkey").alias("b"), (F.col("o_custkey") % 65536).alias("c")), s, "W", "wire", native=True)
+    w = codec.encode(o, F.struct((F.col("o_orderkey") % 65536).alias("a"), F.col("o_custkey").alias("b"), (F.col("o_custkey") % 65536).alias("c")), s, "W", "wire")
     h = F.lower(F.hex("wire"))
     return w.select("o_orderkey", F.substring(h, 1, 4).alias("be16"), F.substring(h, 5, 8).alias("be32"), F.substring(h, 13, 4).alias("le16"))
 
@@ -128,7 +129,7 @@ def floats(spark, sf_dir):
     s = schema({"V": seq(field("n", "uint16", computed={"type": "length_of", "target": "v"}), array("v", "float32", "field_referenced", length_field="n"))}, little=True)
     e = table(spark, sf_dir, "embeddings")
     w = codec.encode(e, F.struct(F.col("embedding").alias("v")), s, "V", "wire")
-    m = codec.decode(w.select("vec_id", "wire"), "wire", s, "V", "m", native=True)
+    m = codec.decode(w.select("vec_id", "wire"), "wire", s, "V", "m")
     return m.select("vec_id", F.col("m.n").cast("long").alias("n"), F.get("m.v", F.lit(0)).cast("double").alias("first"), F.element_at("m.v", -1).cast("double").alias("last"), F.array_max("m.v").cast("double").alias("most"))
 
 
@@ -146,9 +147,9 @@ def bits(spark, sf_dir):
     msb = schema({"B": seq(field("high", "bit", size=8), field("mid", "bit", size=5), field("low", "bit", size=3))})
     lsb = schema({"B": seq(field("lsb", "bit", size=2), field("wide", "bit", size=10), field("rest", "bit", size=4))}, lsb=True)
     o, k, c = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
-    a = codec.encode(o, F.struct((F.shiftright(k, 8) % 256).alias("high"), (F.shiftright(k, 3) % 32).alias("mid"), (k % 8).alias("low")), msb, "B", "x", native=True)
-    b = codec.encode(a, F.struct((c % 4).alias("lsb"), (F.shiftright(c, 2) % 1024).alias("wide"), F.lit(0).alias("rest")), lsb, "B", "y", native=True)
-    d = codec.decode(codec.decode(b, "x", msb, "B", "p", native=True), "y", lsb, "B", "q", native=True)
+    a = codec.encode(o, F.struct((F.shiftright(k, 8) % 256).alias("high"), (F.shiftright(k, 3) % 32).alias("mid"), (k % 8).alias("low")), msb, "B", "x")
+    b = codec.encode(a, F.struct((c % 4).alias("lsb"), (F.shiftright(c, 2) % 1024).alias("wide"), F.lit(0).alias("rest")), lsb, "B", "y")
+    d = codec.decode(codec.decode(b, "x", msb, "B", "p"), "y", lsb, "B", "q")
     return d.select("o_orderkey", "p.low", "p.mid", "p.high", "q.lsb", "q.wide")
 
 
@@ -192,8 +193,8 @@ def strings(spark, sf_dir):
 def computed_lengths(spark, sf_dir):
     s = schema({"S": seq(field("n_bytes", "uint32", computed={"type": "length_of", "target": "t", "encoding": "utf8"}), field("n_units", "uint32", computed={"type": "length_of", "target": "t"}), text("t", "field_referenced", length_field="n_bytes"))})
     d = table(spark, sf_dir, "documents")
-    w = codec.encode(d, F.struct(F.col("text").alias("t")), s, "S", "wire", native=True).select("doc_id", "wire")
-    m = codec.decode(w, "wire", s, "S", "m", native=True)
+    w = codec.encode(d, F.struct(F.col("text").alias("t")), s, "S", "wire").select("doc_id", "wire")
+    m = codec.decode(w, "wire", s, "S", "m")
     return m.select("doc_id", "m.n_bytes", "m.n_units", F.md5(F.col("m.t").cast("binary")).alias("digest"))
 
 
@@ -203,7 +204,7 @@ ITEM = seq(field("line", "uint8"), field("part", "uint32"), field("cents", "int6
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")  # grouping spreads it
     item = F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
     return li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
@@ -212,7 +213,9 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
           FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
 def item_arrays(spark, sf_dir):
     s = schema({"Item": ITEM, "Order": seq(field("key", "int64"), array("items", "Item"))})
-    w = codec.encode(_orders(spark, sf_dir), F.struct(F.col("l_orderkey").alias("key"), "items"), s, "Order", "wire", native=True).select("l_orderkey", "wire")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    item = F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    w = codec.assemble(li, "l_orderkey", ["l_linenumber"], F.struct(F.col("l_orderkey").alias("key"), item.alias("items")), s, "Order", "items", "wire")
     rows = codec.items(w, "wire", s, "Order", "items")
     j = rows.join(table(spark, sf_dir, "orders"), rows.l_orderkey == F.col("o_orderkey"))
     return j.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n_items"), F.sum("item.cents").alias("cents"), F.max("item.part").alias("last_part"))
@@ -225,8 +228,8 @@ def array_kinds(spark, sf_dir):
     o = _orders(spark, sf_dir)
     parts, zeros = F.transform("items", lambda x: x["part"]), F.transform("items", lambda x: F.lit(0))
     v = F.struct(parts.alias("a"), parts.alias("b"), F.array(F.lit(1), F.lit(2)).alias("two"), zeros.alias("c"), F.transform("items", lambda x: x["line"].cast("int")).alias("rest"))
-    w = codec.encode(o, v, s, "K", "wire", native=True).select("l_orderkey", "wire")
-    m = codec.decode(w, "wire", s, "K", "m", native=True)
+    w = codec.encode(o, v, s, "K", "wire").select("l_orderkey", "wire")
+    m = codec.decode(w, "wire", s, "K", "m")
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     return m.select("l_orderkey", F.col("m.n").cast("long").alias("n"), total("m.a").alias("parts"), total("m.b").alias("again"), F.size("m.rest").cast("long").alias("n_rest"))
 
@@ -256,14 +259,14 @@ def terminated_arrays(spark, sf_dir):
 def optional_fields(spark, sf_dir):
     s = schema({
         "Kind": {"type": "enum", "repr": "uint8", "variants": {"signup": 1, "error": 2, "click": 3, "view": 4, "purchase": 9}},
-        "Maybe<T>": seq(field("present", "uint8"), field("value", "T", conditional="present == 1")),
-        "E": seq(field("kind", "Kind"), field("flags", "uint8"), field("high", "uint32", conditional="flags & 0x01"), field("who", "optional", value_type="uint64"), field("nibble", "Maybe<uint8>"), field("p", "padding", align_to=4), field("end", "uint8")),
+        "Revised<T>": seq(field("revision", "uint8"), field("old", "T"), field("new", "T", conditional="revision >= 2")),
+        "E": seq(field("kind", "Kind"), field("flags", "uint8"), field("high", "uint32", conditional="flags & 0x01"), field("who", "optional", value_type="uint64"), field("nibble", "Revised<uint8>"), field("p", "padding", align_to=4), field("end", "uint8")),
     })
     e = table(spark, sf_dir, "events")
     high = F.col("value") > 50
-    v = F.struct(F.col("event_type").alias("kind"), F.when(high, 1).otherwise(2).alias("flags"), F.when(high, F.floor("value")).alias("high"), F.when(F.col("event_type") != "view", F.col("user_id")).cast("decimal(20,0)").alias("who"), F.struct(F.lit(1).alias("present"), (F.col("user_id") % 16).alias("value")).alias("nibble"), F.lit(7).alias("end"))
+    v = F.struct(F.col("event_type").alias("kind"), F.when(high, 1).otherwise(2).alias("flags"), F.when(high, F.floor("value")).alias("high"), F.when(F.col("event_type") != "view", F.col("user_id")).cast("decimal(20,0)").alias("who"), F.struct(F.lit(2).alias("revision"), F.lit(0).alias("old"), (F.col("user_id") % 16).alias("new")).alias("nibble"), F.lit(7).alias("end"))
     m = round_trip(e, s, "E", v, ("event_id",))
-    return m.select("event_id", F.col("m.kind").alias("event_type"), F.col("m.high").cast("long").alias("high"), F.col("m.who").cast("long").alias("who"), F.col("m.nibble.value").cast("long").alias("nibble"))
+    return m.select("event_id", F.col("m.kind").alias("event_type"), F.col("m.high").cast("long").alias("high"), F.col("m.who").cast("long").alias("who"), F.col("m.nibble.new").cast("long").alias("nibble"))
 
 
 EVENT_CODES = {"signup": 1, "error": 2, "click": 3, "view": 4, "purchase": 9}
@@ -303,27 +306,28 @@ def byte_budgets(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     raw = F.transform(F.sequence(F.lit(1), F.length("event_type")), lambda i: F.ascii(F.substring(F.col("event_type"), i, F.lit(1))))
     body = F.struct(F.when(F.col("event_type") == "click", "Click").otherwise("Raw").alias("type"), F.struct(F.col("user_id").alias("user")).alias("Click"), F.struct(raw.alias("data")).alias("Raw"))
-    w = codec.encode(e, F.struct(F.col("event_type").alias("id"), body.alias("body")), s, "Chunk", "wire", native=True).select("wire")
-    m = codec.decode(w, "wire", s, "Chunk", "m", native=True)
+    w = codec.encode(e, F.struct(F.col("event_type").alias("id"), body.alias("body")), s, "Chunk", "wire").select("wire")
+    m = codec.decode(w, "wire", s, "Chunk", "m")
     size = F.when(F.col("m.body.type") == "Click", F.lit(5)).otherwise(F.size("m.body.Raw.data"))
     return m.where("m.end = 255").groupBy(F.col("m.id").alias("event_type")).agg(F.count("*").alias("n"), F.sum(size).alias("name_bytes"), F.sum(F.coalesce("m.body.Click.user", F.lit(0))).alias("clicks"))
 
 
 @query("""SELECT n_nationkey, n_name || '.' || r_name AS name, n_name || '.' || r_name AS again, CAST(strlen(n_name) + strlen(r_name) + 2 + 2 + 1 AS BIGINT) AS bytes FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def back_references(spark, sf_dir):
-    label = {"type": "string", "kind": "length_prefixed", "length_type": "uint8", "encoding": "ascii"}
-    pointer = {"type": "back_reference", "storage": "uint16", "endianness": "big_endian", "offset_mask": "0x3FFF", "offset_from": "message_start", "target_type": "Name"}
+    """Places as texts of nation and region; a place that was written before becomes a pointer."""
+    word = {"type": "string", "kind": "length_prefixed", "length_type": "uint8", "encoding": "ascii"}
     s = schema({
-        "Label": label, "Name": {"type": "array", "kind": "null_terminated", "items": {"type": "Label"}}, "Pointer": pointer,
-        "Either": {"type": "discriminated_union", "discriminator": {"peek": "uint8"}, "variants": [{"when": "value < 0xC0", "type": "Name"}, {"when": "value >= 0xC0", "type": "Pointer"}]},
-        "Pair": seq(field("first", "Either"), field("second", "Either")),
+        "Word": word, "Place": {"type": "array", "kind": "null_terminated", "items": {"type": "Word"}},
+        "Seen": {"type": "back_reference", "storage": "uint16", "endianness": "big_endian", "offset_mask": "0x7FFF", "offset_from": "message_start", "target_type": "Place"},
+        "Stop": {"type": "discriminated_union", "discriminator": {"peek": "uint8"}, "variants": [{"when": "value >= 0x80", "type": "Seen"}, {"type": "Place"}]},
+        "Trip": seq(field("origin", "Stop"), field("back", "Stop")),
     })
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    labels = F.array("n_name", "r_name")
-    v = F.struct(F.struct(F.lit("Name").alias("type"), labels.alias("Name"), F.lit(None).cast("array<string>").alias("Pointer")).alias("first"), F.struct(F.lit("Pointer").alias("type"), F.lit(None).cast("array<string>").alias("Name"), labels.alias("Pointer")).alias("second"))
-    w = codec.encode(n, v, s, "Pair", "wire").select("n_nationkey", "wire")
-    m = codec.decode(w, "wire", s, "Pair", "m")
-    return m.select("n_nationkey", F.array_join("m.first.Name", ".").alias("name"), F.array_join("m.second.Pointer", ".").alias("again"), F.octet_length("wire").cast("long").alias("bytes"))
+    words, none = F.array("n_name", "r_name"), F.lit(None).cast("array<string>")
+    v = F.struct(F.struct(F.lit("Place").alias("type"), none.alias("Seen"), words.alias("Place")).alias("origin"), F.struct(F.lit("Seen").alias("type"), words.alias("Seen"), none.alias("Place")).alias("back"))
+    w = codec.encode(n, v, s, "Trip", "wire").select("n_nationkey", "wire")
+    m = codec.decode(w, "wire", s, "Trip", "m")
+    return m.select("n_nationkey", F.array_join("m.origin.Place", ".").alias("name"), F.array_join("m.back.Seen", ".").alias("again"), F.octet_length("wire").cast("long").alias("bytes"))
 
 
 @query("""SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS at_offset, CAST(o_orderkey % 65536 AS BIGINT) AS at_end FROM orders""")
@@ -335,7 +339,7 @@ def position_fields(spark, sf_dir):
     layout = schema({"L": seq(field("magic", "uint16"), field("offset", "uint32"), array("gap", "uint8", "fixed", length=6), field("customer", "uint32"), field("low", "uint16"))})
     o = table(spark, sf_dir, "orders")
     v = F.struct(F.lit(0xBEEF).alias("magic"), F.lit(12).alias("offset"), F.array_repeat(F.lit(0), 6).alias("gap"), F.col("o_custkey").alias("customer"), (F.col("o_orderkey") % 65536).alias("low"))
-    w = codec.encode(o, v, layout, "L", "wire", native=True).select("o_orderkey", "wire")
+    w = codec.encode(o, v, layout, "L", "wire").select("o_orderkey", "wire")
     m = codec.decode(w, "wire", s, "File", "m", verify=True)
     return m.select("o_orderkey", F.col("m.body.customer").cast("long").alias("at_offset"), F.col("m.foot.low").cast("long").alias("at_end"))
 
@@ -352,12 +356,10 @@ def selectors(spark, sf_dir):
         "Summary": seq(field("first", "uint32", computed={"type": "position_of", "target": "../items[first<Returned>]"}), field("returned", "uint32", computed={"type": "sum_of_type_sizes", "target": "../items", "element_type": "Returned"}), field("other", "uint32", computed={"type": "sum_of_type_sizes", "target": "../items", "element_type": "Other"})),
         "Order": seq(array("items", {"type": "choice", "choices": [{"type": "Returned"}, {"type": "Other"}]}), field("summary", "Summary")),
     })
-    li = table(spark, sf_dir, "lineitem")
-    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    item = F.struct(key.alias("k"), F.when(F.col("l_returnflag") == "R", "Returned").otherwise("Other").alias("type"), F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part")).alias("Returned"), F.struct(F.col("l_linenumber").alias("line")).alias("Other"))
-    o = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    items = F.transform("items", lambda x: F.struct(x["type"].alias("type"), x["Returned"].alias("Returned"), x["Other"].alias("Other")))
-    w = codec.encode(o, F.struct(items.alias("items"), F.struct(F.lit(None).cast("int").alias("first")).alias("summary")), s, "Order", "wire").select("l_orderkey", "wire")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")  # assembling spreads it
+    item = F.struct(F.when(F.col("l_returnflag") == "R", "Returned").otherwise("Other").alias("type"), F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part")).alias("Returned"), F.struct(F.col("l_linenumber").alias("line")).alias("Other"))
+    v = F.struct(item.alias("items"), F.struct(F.lit(None).cast("int").alias("first")).alias("summary"))
+    w = codec.assemble(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], v, s, "Order", "items", "wire")
     m = codec.decode(w, "wire", s, "Order", "m").select("l_orderkey", "m.summary.*")
     absent = F.col("first") == 0xFFFFFFFF
     return m.select("l_orderkey", F.when(~absent, F.col("first") - 2).alias("first_r"), F.col("returned").alias("r_bytes"), F.col("other").alias("other_bytes"))
@@ -400,7 +402,7 @@ def checksums(spark, sf_dir):
     """CRC-32 has no SQL twin: a verifying decode stops the job if one is wrong."""
     s = schema({"C": seq(field("n", "uint16", computed={"type": "length_of", "target": "data"}), field("data", "bytes", kind="field_referenced", length_field="n"), field("crc", "uint32", computed={"type": "crc32_of", "target": "data"}))})
     c = table(spark, sf_dir, "customer")
-    w = codec.encode(c, F.struct(F.col("c_name").cast("binary").alias("data")), s, "C", "wire", native=True).select("c_custkey", "wire")
+    w = codec.encode(c, F.struct(F.col("c_name").cast("binary").alias("data")), s, "C", "wire").select("c_custkey", "wire")
     m = codec.decode(w, "wire", s, "C", "m", verify=True)
     return m.select("c_custkey", "m.crc", (F.col("m.crc") == F.crc32("m.data")).alias("same"))
 
@@ -423,7 +425,7 @@ def permissive_errors(spark, sf_dir):
           SELECT 'priority', 'string', 4 + strlen(o_orderpriority), 9 FROM orders) GROUP BY 1, 2""")
 def annotations(spark, sf_dir):
     s = schema({"O": seq(field("key", "int64"), text("status", "fixed", "ascii", length=1), text("priority"))})
-    w = codec.encode(table(spark, sf_dir, "orders"), F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")), s, "O", "wire", native=True)
+    w = codec.encode(table(spark, sf_dir, "orders"), F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")), s, "O", "wire")
     a = codec.annotate(w, "wire", s, "O")
     return a.groupBy("path", "type").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.min("offset").alias("least"))
 
@@ -432,19 +434,19 @@ def annotations(spark, sf_dir):
 def framed_chunks(spark, sf_dir):
     """Each customer's orders as one byte stream, cut into chunks of 7 bytes and put together again."""
     s = schema({"O": seq(field("key", "int64"), field("rest", "string", kind="length_prefixed", length_type="uint8", encoding="utf8"))})
-    w = codec.encode(table(spark, sf_dir, "orders"), F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("rest")), s, "O", "wire", native=True)
+    w = codec.encode(table(spark, sf_dir, "orders"), F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("rest")), s, "O", "wire")
     stream = w.groupBy("o_custkey").agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", F.hex("wire").alias("h")))), lambda x: x["h"]), "")).alias("bytes"))
     cut = stream.select("o_custkey", "bytes", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("bytes") - 1) / 7).cast("int"))).alias("chunk"))
     chunks = cut.select("o_custkey", "chunk", binary.window(F.col("bytes"), F.col("chunk") * 7, 7).alias("data"))
     got = framing.frames(chunks, "o_custkey", "chunk", "data", framing.Framing.greedy(s, "O")).where("error is null")
-    m = codec.decode(got.select(F.col("key").alias("o_custkey"), "message"), "message", s, "O", "m", native=True)
+    m = codec.decode(got.select(F.col("key").alias("o_custkey"), "message"), "message", s, "O", "m")
     return m.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("m.key").alias("keys"), F.sum(F.octet_length("m.rest")).alias("priority_bytes"))
 
 
 @query("""SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS head, CAST(o_orderkey % 256 AS BIGINT) AS tail FROM orders""")
 def random_access(spark, sf_dir):
     s = schema({"O": seq(field("c", "uint32"), field("k", "uint64"))})
-    w = codec.encode(table(spark, sf_dir, "orders"), F.struct(F.col("o_custkey").alias("c"), F.col("o_orderkey").cast("decimal(20,0)").alias("k")), s, "O", "wire", native=True).select("o_orderkey", "wire")
+    w = codec.encode(table(spark, sf_dir, "orders"), F.struct(F.col("o_custkey").alias("c"), F.col("o_orderkey").cast("decimal(20,0)").alias("k")), s, "O", "wire").select("o_orderkey", "wire")
     p = files.slice_at(files.slice_at(w, "wire", 0, 4, "a"), "wire", -1, 1, "b")
     return p.select("o_orderkey", binary.unsigned(F.col("a"), 4).alias("head"), binary.unsigned(F.col("b"), 1).alias("tail"))
 
