@@ -52,7 +52,7 @@ def stored(df: DataFrame, name: str, drop: tuple[str, ...] = ()) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     for old in drop:
-        _delete(spark, old)
+        _delete(spark, old.rpartition("/")[0] if old.endswith(".parquet") else old)
     return out
 
 

@@ -1,25 +1,28 @@
-"""Removal of repeated passages: hashes of strings, with a difference cover as a filter.
+"""Removal of repeated passages by a blockwise suffix sort with a difference cover.
 
 Wanted are all suffixes (starts of `length`-byte strings) whose first `length` bytes occur anywhere
-else. This takes the place of a difference-cover suffix sort: no suffix is sorted, no rank of a
-cover sample is computed, and strings are the same if 80 bits of their hashes are.
-
-1. The cover sample. A difference cover D modulo v has, for any two positions p and q, a shift
-   k < v with p + k and q + k both in D (mod v). Only positions in D are sampled, each named by its
-   next length - v + 1 bytes (48 bits of their hash), and names are told once as "occurs twice" or
-   "single".
-2. Candidates. If the strings at p and q are equal, the sample at p + k has a repeated name for the
-   cover's k. So a suffix is a candidate only if, within v bytes, a sample has a repeated name: the
-   samples settle nearly all suffixes without comparing them.
-3. Blocks. Candidates are grouped one bucket of hashes at a time: a round takes the suffixes whose
-   string hash falls in one slice, so that a round ships a fixed share of the text at most; within
-   it tasks group one bucket after the other by 80 bits of two rolling hashes of the full
-   length; bytes are never compared. Singles go back to their texts, and each byte
-   covered by a candidate that isn't single is removed.
-
-Texts are stored in blocks of whole documents, and all positions are positions in a block, so
-suffixes travel as packed arrays and no row is made per suffix. A block sends two occurrences of a
-string or sample at most, so one that is in very many places meets as two for each block.
+else. Suffixes are dealt to buckets, and one bucket is sorted at a time:
+
+1. Filter. A difference cover D modulo v has, for any two positions p and q, a shift k < v with
+   p + k and q + k both in D (mod v). Positions in D are sampled, each named by a hash of its next
+   length - v + 1 bytes. If the strings at p and q are equal, the samples at p + k are, so a suffix
+   is a candidate only if, within v bytes, a sample has a name that occurs twice. Equal strings
+   have equal hashes, so the filter loses nothing; what it lets through is compared in full.
+2. Buckets. A suffix belongs to the bucket of its anchor: of the short windows of its `length`
+   bytes that with the least hash, the first on a tie. Equal strings have equal anchors at equal
+   places. Neighbouring suffixes mostly share an anchor and travel as one segment of text, of some
+   hundreds of bytes; a segment that occurs in several places (by its 128-bit BLAKE2 hash) travels
+   once and is known to be repeated.
+3. Sort. In each bucket the sample of a small cover (v = 13) is ranked in text order by prefix
+   doubling: names of 13 bytes, then of 26, 52, 104, 208 and 377, as the cover's period keeps p + h
+   in the sample. Suffixes are then sorted by their first 13 bytes, ties by the ranks of the
+   sample at the shift that the cover has for their residues, and by their last bytes. No hash
+   decides here. Memory holds a bucket, in a few numbers a byte.
+
+An anchor that more than HOT_BYTES of different segments share is no bucket: its suffixes are
+exploded and grouped by their bytes in Spark, so no task holds an unbounded group. Texts are stored
+in blocks of whole documents, and all positions are positions in a block. A block sends two
+occurrences of a sample at most, so one that is in very many places meets as two for each block.
 
 Defined results: a null text counts as empty; a text shorter than `length` keeps all its bytes;
 matches never cross documents; overlapping strings of one document count; repeated rows repeat
@@ -29,6 +32,7 @@ Cutting whole bytes may split a character: `kept` is bytes, and `kept_text` deco
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -38,15 +42,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, stored, width
+from .common import stored, width
 
 LENGTH = 400
 COVER_R = 2  # of the cover's construction
 BLOCK_BYTES, TILE = 1 << 20, 1 << 19
-ROUND_SHARE = 0.3  # of the text's bytes that a round ships at most
-BUCKET_BYTES = 16 << 20  # of packed suffixes that a task sorts at once
+NAME_BYTES = 16 << 20  # of packed sample names that a task sorts at once
+ANCHOR = 32  # bytes of the windows that anchors are chosen from
+BUCKET_BYTES, HOT_BYTES = 2 << 20, 8 << 20  # of segments that are sorted at once; of an anchor that is no bucket
 MASK = (1 << 64) - 1
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers
+BASE = 0x9E3779B97F4A7C15  # an odd multiplier
 
 
 def cover(r: int = COVER_R) -> tuple[int, list[int]]:
@@ -59,9 +64,9 @@ def cover(r: int = COVER_R) -> tuple[int, list[int]]:
 class Hasher:
     """Rolling hashes of all windows of a size, by prefix sums modulo 2^64."""
 
-    def __init__(self, which: int = 0):
-        base = BASES[which] | 1
-        rng = np.random.default_rng(1234 + which)
+    def __init__(self):
+        base = BASE
+        rng = np.random.default_rng(1234)
         self.table = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         n = TILE + 4 * LENGTH
         up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
@@ -82,13 +87,9 @@ class Hasher:
         return h ^ (h >> np.uint64(32))
 
 
-_HASHERS: dict[int, Hasher] = {}
-
-
-def hasher(which: int = 0) -> Hasher:
-    if which not in _HASHERS:
-        _HASHERS[which] = Hasher(which)
-    return _HASHERS[which]
+@functools.cache
+def hasher() -> Hasher:
+    return Hasher()
 
 
 def _tiles(data: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -178,12 +179,10 @@ def _one_bucket_at_a_time(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tu
         yield rows
 
 
-def _twice(keys: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
-    """Which keys (with `more`, pairs of both) occur twice or more."""
-    order = np.argsort(keys, kind="stable") if more is None else np.lexsort((more, keys))
+def _twice(keys: np.ndarray) -> np.ndarray:
+    """Which keys occur twice or more."""
+    order = np.argsort(keys, kind="stable")
     same = keys[order[1:]] == keys[order[:-1]]
-    if more is not None:
-        same &= more[order[1:]] == more[order[:-1]]
     out = np.zeros(len(keys), bool)
     out[order] = np.r_[False, same] | np.r_[same, False]
     return out
@@ -217,16 +216,12 @@ def _row(batch: pa.RecordBatch, i: int, *names: str) -> list:
     return [np.array(batch.column(n)[i].as_py(), np.int64) if n == "ends" else np.frombuffer(_unzipped(batch, i), np.uint8) if n == "data" else batch.column(n)[i].as_py() for n in names]
 
 
-def _first_two(keys: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
-    """Increasing indices of the first two of each key (with `more`, of each pair): all that other
-    blocks need to know of a block."""
+def _first_two(keys: np.ndarray) -> np.ndarray:
+    """Increasing indices of the first two of each key: all that other blocks need to know of a block."""
     if len(keys) < 3:
         return np.arange(len(keys))
-    order = np.argsort(keys, kind="stable") if more is None else np.lexsort((more, keys))
-    third = keys[order[2:]] == keys[order[:-2]]
-    if more is not None:
-        third &= more[order[2:]] == more[order[:-2]]
-    return np.sort(order[np.r_[True, True, ~third]])
+    order = np.argsort(keys, kind="stable")
+    return np.sort(order[np.r_[True, True, keys[order[2:]] != keys[order[:-2]]]])
 
 
 def _sampled(ends: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,35 +312,172 @@ def _mask(batch: pa.RecordBatch, i: int, total: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(batch.column("mask")[i].as_buffer(), np.uint8), count=total).astype(bool)
 
 
-def _suffixes(length: int, n: int, rounds: int, turn: int):
-    """Packed candidates of this turn's slice of the hashes."""
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n in a row."""
+    size = len(x) - n + 1
+    rows = -(-len(x) // n)
+    padded = np.full(rows * n, MASK, np.uint64)
+    padded[: len(x)] = x
+    grid = padded.reshape(rows, n)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:size], ahead[n - 1 : n - 1 + size])
+
+
+def _runs(data: np.ndarray, mask: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first suffix, number of suffixes, anchor's hash) of the runs of marked suffixes with one
+    anchor. The hash has 40 bits."""
+    first, count, anchors = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, tile in _tiles(data, length):
+        n = len(tile) - length + 1
+        own = mask[lo : lo + n]
+        if not own.any():
+            continue
+        h = hasher().windows(tile, ANCHOR)
+        least = _least(h >> np.uint64(24) << np.uint64(24) | np.arange(len(h), dtype=np.uint64), length - ANCHOR + 1)
+        begins = own & (np.r_[True, ~own[:-1]] | np.r_[True, least[1:] != least[:-1]])
+        at = np.flatnonzero(begins)
+        ends = np.flatnonzero(own & (np.r_[~own[1:], True] | np.r_[least[1:] != least[:-1], True]))
+        first.append(at + lo)
+        count.append(ends - at + 1)
+        anchors.append((least[at] >> np.uint64(24)).astype(np.int64))
+    return np.concatenate(first), np.concatenate(count), np.concatenate(anchors)
+
+
+def _named(data: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> list[bytes]:
+    """The segments' names."""
+    raw = data.tobytes()
+    return [hashlib.blake2b(raw[a : a + n + length - 1], digest_size=16).digest() for a, n in zip(first.tolist(), count.tolist())]
+
+
+def _segments(length: int):
+    """A row for each different segment of a block; `many` if the block has it twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, g = hasher(0), hasher(1)
         for batch in batches:
             for i in range(batch.num_rows):
                 block, data = _row(batch, i, "block", "data")
-                mask = _mask(batch, i, len(data))
-                keys, more, at = [], [], []
-                for lo, tile in _tiles(data, length):
-                    k = h.windows(tile, length)
-                    own = np.flatnonzero(mask[lo : lo + len(k)] & (k % np.uint64(rounds) == turn))
-                    keys.append(k[own])
-                    more.append((g.windows(tile, length)[own] >> np.uint64(48)).astype("<u2"))
-                    at.append(own + lo)
-                if sum(map(len, at)):
-                    k, m = np.concatenate(keys), np.concatenate(more)
-                    own = _first_two(k, m)  # what comes third is no single
-                    yield _dealt(block, _buckets(k[own], n), [k[own].astype("<u8"), m[own]], np.concatenate(at)[own])
+                first, count, anchors = _runs(data, _mask(batch, i, len(data)), length)
+                seen: dict[bytes, list] = {}
+                for name, a, n, g in zip(_named(data, first, count, length), first.tolist(), count.tolist(), anchors.tolist()):
+                    if name in seen:
+                        seen[name][3] = True
+                    else:
+                        seen[name] = [g, a, n + length - 1, False]
+                rows = list(seen.items())
+                for at in range(0, len(rows), 2048):
+                    part = rows[at : at + 2048]
+                    texts = pa.array([data[a : a + n].tobytes() for _, (_, a, n, _) in part], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array([r[0] for _, r in part], pa.int64()), pa.array([name for name, _ in part], pa.binary()), texts, pa.array([r[3] for _, r in part])], ["block", "anchor", "name", "segment", "many"])
 
     return run
 
 
-def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _one_bucket_at_a_time(batches):
-        parts = [unpack(b, ["<u8", "<u2"]) for _, b in rows]
-        twice = _twice(np.concatenate([p[0] for p, _ in parts]), np.concatenate([p[1] for p, _ in parts]))
-        yield _returned(rows, [at for _, at in parts], ~twice)
+SMALL_V, SMALL_D = 13, (0, 1, 4, 6)  # a perfect difference set: the differences modulo 13 are all there
+
+
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """Dense ranks of unsigned keys, in their order."""
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), np.uint64)
+    new[0:1] = 0
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    out = np.empty(len(keys), np.uint64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _word(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """n bytes from each place as a number whose order is that of the bytes."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        out = out << np.uint64(8) | data[at + k].astype(np.uint64)
+    return out
+
+
+def _ranked(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Ranks in text order of the n bytes from each place; fewer than 2**24 places."""
+    out = _ranks(_word(data, at, min(n, 8)))
+    for k in range(8, n, 5):
+        size = min(5, n - k)
+        out = _ranks(out << np.uint64(8 * size) | _word(data, at + k, size))
+    return out
+
+
+def repeated(data: np.ndarray, at: np.ndarray, length: int, known: np.ndarray) -> np.ndarray:
+    """Which of the suffixes at `at` have an equal one among them (or are known to), by sorting them."""
+    v, d = SMALL_V, np.isin(np.arange(SMALL_V), SMALL_D)
+    data = np.concatenate([data, np.zeros(2 * length, np.uint8)])
+    sample = np.flatnonzero(d[np.arange(len(data) - length) % v])
+    place = np.zeros(len(data), np.int64)  # of each position in the sample
+    place[sample] = np.arange(len(sample))
+    inner = length - 2 * v + 3  # so much a sample's rank must tell, and no more than the string has behind any shift
+    rank, h = _ranked(data, sample, v), v
+    while h < inner:
+        step = h if 2 * h <= inner else (inner - h) // v * v
+        if step == 0:
+            break
+        later = np.minimum(sample + step, len(data) - length - 1)
+        later -= (later - sample) % v  # the period keeps it in the sample
+        rank = _ranks(rank << np.uint64(32) | rank[place[later]])
+        h += step
+    rest = length - h  # the last bytes: those that a rank at shift 0 does not tell
+    head, tail = _ranked(data, at, v), _ranked(data, at + length - rest, rest)
+    ends = _ranks(head << np.uint64(32) | tail)
+    out = known.copy()
+    for shift in range(v):
+        own = np.flatnonzero(d[(at + shift) % v])
+        if len(own) < 2:
+            continue
+        keys = ends[own] << np.uint64(32) | rank[place[at[own] + shift]]
+        order = np.argsort(keys, kind="stable")
+        same = keys[order[1:]] == keys[order[:-1]]
+        out[own[order]] |= np.r_[False, same] | np.r_[same, False]
+    return out
+
+
+def _sorted_buckets(length: int):
+    """Over segments by anchor: the repeated suffixes of each, as places in the segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[bytes] = []
+        texts: list[bytes] = []
+        many: list[bool] = []
+        size, now, cut = 0, None, 0
+
+        def bucket(k: int) -> pa.RecordBatch:
+            lengths = np.array([len(t) for t in texts[:k]], np.int64)
+            begins, n = np.cumsum(lengths) - lengths, lengths - length + 1
+            owner = np.repeat(np.arange(k), n)
+            within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            found = repeated(np.frombuffer(b"".join(texts[:k]), np.uint8), begins[owner] + within, length, np.array(many[:k])[owner])
+            flat, sizes = within[found].astype(np.int32), np.bincount(owner[found], minlength=k)
+            places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
+            return pa.RecordBatch.from_arrays([pa.array(names[:k], pa.binary()), places], ["name", "places"]).filter(pa.array(sizes > 0))
+
+        for batch in batches:
+            for anchor, name, text, twice in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if anchor != now:
+                    if size >= BUCKET_BYTES:
+                        yield bucket(len(names))
+                        names, texts, many, size = [], [], [], 0
+                    now = anchor
+                names.append(name)
+                texts.append(text)
+                many.append(twice)
+                size += len(text)
+        if names:
+            yield bucket(len(names))
+
+    return run
+
+
+def _exploded(hot: DataFrame, length: int) -> DataFrame:
+    """The same for anchors with very many segments: equal strings meet by their bytes in Spark."""
+    rows = hot.select("name", "many", "segment", F.explode(F.sequence(F.lit(0), F.octet_length("segment") - length)).alias("place"))
+    rows = rows.select("name", "many", "place", F.substring("segment", F.col("place") + 1, F.lit(length)).alias("string"))
+    twice = rows.groupBy("string").agg((F.count("*") > 1).alias("more"), F.max("many").alias("any")).where("more or any").select("string")
+    return rows.join(twice, "string", "left_semi").groupBy("name").agg(F.collect_list("place").alias("places"))
 
 
 def _covered(starts: np.ndarray, total: int, length: int) -> np.ndarray:
@@ -359,10 +491,16 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ends, data, blobs = _row(batch, i, "ends", "data", "packed")
-                mask = _mask(batch, i, len(data))
-                mask[_positions(blobs or [])] = False
-                gone = _covered(np.flatnonzero(mask), len(data), length)
+                ends, data, found = _row(batch, i, "ends", "data", "found")
+                places = {bytes(x["name"]): x["places"] for x in found or []}
+                starts = np.zeros(len(data) + 1, bool)
+                if places:
+                    first, count, _ = _runs(data, _mask(batch, i, len(data)), length)
+                    for name, a, n in zip(_named(data, first, count, length), first.tolist(), count.tolist()):
+                        if name in places:
+                            own = places[name]
+                            starts[a : a + n] = True if own is None else np.isin(np.arange(n), own)
+                gone = _covered(np.flatnonzero(starts), len(data), length)
                 kept, removed, spans = [], [], []
                 for b, e in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
                     own = gone[b:e]
@@ -401,21 +539,26 @@ def cut(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length: int = LEN
     kind = texts.schema["rest"].dataType.simpleString()
     dealt, back = "bucket int, block long, packed binary", "block long, packed binary"
     total = texts.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
-    n = max(width(spark), math.ceil(total / BUCKET_BYTES))
-    names = stored(_sorted(texts.select("block", "ends", "data").mapInArrow(_samples(length, n), dealt), n).mapInArrow(_repeated_samples, back), "sample-ranks")
-    free(spark)
+    n = max(width(spark), math.ceil(total / NAME_BYTES))
+    names = stored(_sorted(texts.select("block", "ends", "data").mapInArrow(_samples(length, n), dealt), n).mapInArrow(_repeated_samples, back), "sample-names")
     schema = f"block long, ends array<bigint>, data binary, rest {kind}, mask binary, n long, o_ends array<bigint>, o_data binary, o_rest {kind}"
-    split = stored(texts.join(_collected(names), "block", "left").mapInArrow(_candidates(length), schema), "candidates", drop=(texts.inputFiles()[0].rpartition("/")[0],) if total else ())
-    free(spark)
-    count = split.agg(F.sum("n")).first()[0] or 0
-    rounds = max(1, math.ceil(12 * count / max(1.0, ROUND_SHARE * total)))
-    singles = None
-    for turn in range(rounds):
-        found = stored(_sorted(split.select("block", "data", "mask").mapInArrow(_suffixes(length, n, rounds, turn), dealt), n).mapInArrow(_singles, back), "singles")
-        singles = found if singles is None else singles.union(found)
-        free(spark)
+    split = stored(texts.join(_collected(names), "block", "left").mapInArrow(_candidates(length), schema), "candidates", drop=(*texts.inputFiles()[:1], *names.inputFiles()[:1]))
+    segments = stored(split.where("n > 0").select("block", "data", "mask").mapInArrow(_segments(length), "block long, anchor long, name binary, segment binary, many boolean"), "segments")
+    once = stored(segments.groupBy("name").agg(F.first("anchor").alias("anchor"), F.first("segment").alias("segment"), (F.max("many") | (F.count("*") > 1)).alias("many")), "different-segments")
+    groups = once.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.octet_length("segment")).alias("bytes"))
+    dealt_ = stored(once.join(groups, "anchor"), "dealt-segments", drop=once.inputFiles()[:1])
+    whole = dealt_.where("many").select("name", F.lit(None).cast("array<int>").alias("places"))
+    # A segment alone with its anchor has no equal; one that is repeated itself needs no answer.
+    wanted = dealt_.where("k > 1")
+    small_ = wanted.where(F.col("bytes") <= HOT_BYTES).select("anchor", "name", "segment", "many")
+    found = small_.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_buckets(length), "name binary, places array<int>")
+    hot = wanted.where(F.col("bytes") > HOT_BYTES)
+    if not hot.isEmpty():
+        found = found.union(_exploded(hot, length))
+    flags = stored(whole.union(found.join(whole, "name", "left_anti")), "repeated-suffixes")
+    told = segments.select("block", "name").join(flags, "name").groupBy("block").agg(F.collect_list(F.struct("name", "places")).alias("found"))
     out = f"rest {kind[6:-1]}, kept binary, n_removed long, n_spans long"
-    touched = split.select("block", "ends", "data", "rest", "mask").join(_collected(singles), "block", "left").mapInArrow(_cut(length), out)
+    touched = split.select("block", "ends", "data", "rest", "mask").join(told, "block", "left").mapInArrow(_cut(length), out)
     others = split.select(F.col("o_ends").alias("ends"), F.col("o_data").alias("data"), F.col("o_rest").alias("rest")).mapInArrow(_uncut, out)
     return touched.union(others)
 
