@@ -5,8 +5,8 @@ has the best score merges first, the leftmost on a tie, until no pair forms a pi
 are no piece fall back to byte pieces. Where no piece of the vocabulary has a space mark after
 another character, no merge crosses from one space-marked chunk to the next, so the chunks of a
 text are encoded one by one and their ids are remembered; else a text is one chunk. In each Arrow
-batch, of the chunks that the worker has not met before one in `verify_one_in` (1: all, 0: none)
-is compared with the sentencepiece library, and a difference stops the job.
+batch every chunk that the task has not met before is compared with the sentencepiece library (by
+itself, or within its whole text and with the decoded text), and a difference stops the job.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to ""; texts
 of any length are encoded whole; repeated rows give repeated results; only the id and text
@@ -15,14 +15,14 @@ columns are read, so other columns of any name do no harm.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import re
 import struct
-import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model format
-MEMO_CHUNKS, MEMO_CHARS = 400_000, 48  # about 120 MB a worker
-VERIFY_ONE_IN = 16  # of the chunks new to a worker, by hash, so many are compared with the library
+MEMO_BYTES, MEMO_CHARS, MEMO_ENTRY = 64 << 20, 48, 260  # of a task's memo, as estimated; bytes of an entry besides its text and ids
 SHORT = 24  # symbols
 STRANGE = 1 << 24  # a character that is no piece is this plus its code point, in the lock step
 NONE, SLOTS, SPREAD = 2**31 - 1, 1 << 20, np.int64(-7046029254386353131)  # the last spreads keys over slots
@@ -299,55 +298,68 @@ class Model:
         return "".join(out)
 
 
-_LOADED: dict[str, tuple[Model, object, dict[str, tuple[int, ...]]]] = {}
+@functools.cache
+def _loaded(path: str) -> tuple:
+    import sentencepiece
 
-
-def _loaded(path: str):
-    if path not in _LOADED:
-        import sentencepiece
-
-        _LOADED[path] = Model.load(path), sentencepiece.SentencePieceProcessor(model_file=path), {}
-    return _LOADED[path]
+    return Model.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
 
 
 class Codec:
-    """A worker's encoder: the model, its memo of chunks and the library to check against."""
+    """A task's encoder: the model, a memo of chunks and the library to check against. Ids are kept
+    as the bytes of an array, so that a text's ids are joined from its chunks' without an object
+    each. The memo is bounded in bytes and goes with the task.
+
+    check: every chunk that is new to the memo is compared with the library; one that begins
+    with a space mark as a text of its own, any other within the text that it was met in, whose
+    ids and decoded text are compared as a whole."""
 
-    def __init__(self, path: str, verify_one_in: int = VERIFY_ONE_IN):
-        self.model, self.library, self.memo = _loaded(path)
-        self.verify_one_in = verify_one_in if self.model.add_dummy_prefix else 0
+    def __init__(self, path: str, check: bool = True):
+        self.model, self.library = _loaded(path)
+        self.memo: dict[str, bytes] = {}
+        self.held, self.check = 0, check
+        self.kind = "H" if len(self.model.pieces) < 1 << 16 else "I"
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[list[int]]:
         model, memo = self.model, self.memo
-        if len(memo) > MEMO_CHUNKS:
+        if self.held > MEMO_BYTES:
             memo.clear()
-        found, fresh = [], set()
-        for text in texts:
+            self.held = 0
+        found, fresh, whole = [], set(), []
+        for k, text in enumerate(texts):
             chunks = model.chunks.findall(model.normalize(text or ""))
             ids = list(map(memo.get, chunks))
             if None in ids:
-                fresh.update([c for c, x in zip(chunks, ids) if x is None])
+                new = [c for c, x in zip(chunks, ids) if x is None and c not in fresh]
+                fresh.update(new)
+                if self.check and (not model.add_dummy_prefix or any(c[0] != SPACE or len(c) == 1 for c in new)):
+                    whole.append(k)
             found.append((chunks, ids))
         names = list(fresh)
-        new = dict(zip(names, model.encode_chunks(names)))
-        if self.verify_one_in:
-            self._compare([c for c in names if c[0] == SPACE and len(c) > 1 and zlib.crc32(c.encode()) % self.verify_one_in == 0], new)
-        memo.update((c, ids) for c, ids in new.items() if len(c) <= MEMO_CHARS)
-        for chunks, ids in found:
-            yield list(chain.from_iterable([new[c] if x is None else x for c, x in zip(chunks, ids)] if None in ids else ids))
-
-    def _compare(self, chunks: list[str], got: dict[str, tuple[int, ...]]) -> None:
+        new = {c: array(self.kind, ids).tobytes() for c, ids in zip(names, model.encode_chunks(names))}
+        if self.check and model.add_dummy_prefix:
+            self._compare([c for c in names if c[0] == SPACE and len(c) > 1], new)
+        kept = {c: ids for c, ids in new.items() if len(c) <= MEMO_CHARS}
+        memo.update(kept)
+        self.held += sum(MEMO_ENTRY + 2 * len(c) + len(x) for c, x in kept.items())
+        out = [np.frombuffer(b"".join([new[c] if x is None else x for c, x in zip(chunks, ids)] if None in ids else ids), self.kind).tolist() for chunks, ids in found]
+        for k, want in zip(whole, self.library.encode([texts[k] or "" for k in whole], num_threads=1) if whole else []):
+            if want != out[k] or self.library.decode(want) != model.decode(want):
+                raise ValueError(f"the agenda and the library differ on {(texts[k] or '')[:80]!r}")
+        return iter(out)
+
+    def _compare(self, chunks: list[str], got: dict[str, bytes]) -> None:
         for c, want in zip(chunks, self.library.encode([c[1:].replace(SPACE, " ") for c in chunks], num_threads=1)):
-            if tuple(want) != got[c]:
+            if array(self.kind, want).tobytes() != got[c]:
                 raise ValueError(f"the agenda and the library differ on {c[:80]!r}")
 
 
-def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", verify_one_in: int = VERIFY_ONE_IN) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", check: bool = True) -> DataFrame:
     """The other columns of docs, and ids array<int>, n_tokens and decoded: every text encoded and
     decoded again. Columns of docs by these three names are replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path, verify_one_in)
+        codec = Codec(model_path, check)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -364,12 +376,12 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", veri
     return out.select("rest.*", "ids", "n_tokens", "decoded")
 
 
-def digests(docs: DataFrame, model_path: str, verify_one_in: int = VERIFY_ONE_IN) -> DataFrame:
+def digests(docs: DataFrame, model_path: str, check: bool = True) -> DataFrame:
     """Per document the number of ids and digests of ids and decoded text; ids and texts stay
     inside the Python worker, so only digests cross back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path, verify_one_in)
+        codec = Codec(model_path, check)
         digits, decode = codec.model.digits, codec.model.decode
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for whole in batches:
