@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side of a join is broadcast only when its counted rows stay below this.
-BROADCAST_ROWS = 20_000
+# A side of a join is broadcast only when its size and its counted rows stay below these.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +65,11 @@ def free(spark: SparkSession) -> None:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else unchanged (then Spark joins
-    by shuffle and splits skewed partitions). The count stops at the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if its plan has at most BROADCAST_BYTES (of a stored table: its
+    files' size) and it has at most `rows` rows, else unchanged (then Spark joins by shuffle and
+    splits skewed partitions). The count stops at the bound."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
 
 
 def width(spark: SparkSession) -> int:

@@ -41,10 +41,73 @@ def test_template_is_dropped_and_copies_stay(spark):
     assert w.main_text(df.limit(0)).count() == 0
 
 
-def test_matching_aligns_in_order():
-    a, b = w.parse("<div><p>x</p><ul></ul><p>y</p></div>"), w.parse("<div><p>x</p><p>y</p></div>")
-    pairs = []
-    assert w._matched(a, b, pairs) == 4 and len(pairs) == 4
+def plain_worth(a, b):
+    """Simple tree matching as it is written down: the whole table for each pair of elements."""
+    if a.name != b.name:
+        return 0
+    if a.text is not None:
+        return 1 + (a.text == b.text)
+    x, y = a.children, b.children
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, c in enumerate(x, 1):
+        for j, d in enumerate(y, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + plain_worth(c, d))
+    return 1 + best[-1][-1]
+
+
+def random_page(rnd, depth=0):
+    parts = []
+    for _ in range(rnd.randint(1, 6)):
+        kind = rnd.random()
+        if kind < 0.5 or depth > 2:
+            parts.append(f"<p>{rnd.choice('uvwxyz')}</p>")
+        elif kind < 0.7:
+            parts.append(f"{rnd.choice('abc')}")
+        else:
+            tag = rnd.choice(["div", "ul", "section"])
+            parts.append(f"<{tag}>{random_page(rnd, depth + 1)}</{tag}>")
+    return "".join(parts)
+
+
+def test_matching_is_optimal(monkeypatch):
+    rnd = random.Random(8)
+    for halves in (False, True):
+        if halves:
+            monkeypatch.setattr(w, "CELLS", 4)
+        for _ in range(150):
+            a, b = (w.outline(w.parse(random_page(rnd)))[0] for _ in range(2))
+            assert 1 + w.align(a.children, b.children, {}) == plain_worth(a, b)
+            pairs = w.matched(a, b)
+            assert all(x < y for p, q in zip(sorted(pairs), sorted(pairs)[1:]) for x, y in ((p[0], q[0]), (p[1], q[1])))  # in order, none twice
+
+
+def test_constant_node_is_found_behind_any_number_of_siblings():
+    ref = w.outline(w.parse("<div>" + "".join(f"<p>r{k}</p>" for k in range(5)) + "<p>Always the same</p></div>"))[0]
+    for n in (0, 1, 5, 12, 13, 30, 500):
+        page = w.outline(w.parse("<div>" + "".join(f"<p>s{n} {k}</p>" for k in range(n)) + "<p>Always the same</p></div>"))[0]
+        assert (5, n, True) in w.matched(ref, page)
+
+
+def test_titles_in_an_articles_header_stay():
+    long = "a long text " * 5
+    for page in (f"<article><header><h1>T</h1><p>by me</p></header><p>{long}</p></article>", f'<article><div class="post-header"><h1>T</h1><span>share</span></div><p>{long}</p></article>'):
+        assert w.extract(page) == f"T\n{long.strip()}"
+    assert w.extract(f"<header><h1>Site</h1></header><article><p>{long}</p></article>") == long.strip()
+    assert w.extract("<article><p>a <math>b</math> c</p></article>") == "a b c"
+
+
+def test_wrappers_tell_what_regions_do_not(spark):
+    """Pages without article or telling classes: only the wrapper separates boilerplate and text."""
+    rnd = random.Random(9)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(40):
+        body = [text(15) for _ in range(rnd.choice([5, 12, 14, 30]))]
+        rows.append((i, f"http://plain.example/{i}", "<body><div><p>Our site</p><p>Home Shop Contact</p></div><div>" + "".join(f"<p>{t}</p>" for t in body) + "<p>Write to us at any time</p></div></body>"))
+        want[i] = "\n".join(body)
+    out = {r.page_id: r.text for r in w.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == want
+    assert all(w.extract(h) != want[i] for i, _, h in rows)
 
 
 def test_class_words_do_not_take_the_article():
