@@ -58,9 +58,11 @@ def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
     from .token_rollup import maintained
 
-    return maintained(table(spark, sf_dir, "documents"))
+    return maintained(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +82,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, quotes, suffix_dedup, token_rollup, warc
+    from . import decontaminate, quotes, suffix_dedup, warc
 
-    return {"op7_quotes": quotes.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op8_token_counts": token_rollup.ORACLE_SQL, "op9_suffix_dedup": suffix_dedup.ORACLE_SQL}
+    return {"op7_quotes": quotes.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op9_suffix_dedup": suffix_dedup.ORACLE_SQL}
