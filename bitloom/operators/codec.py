@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -268,3 +268,22 @@ def annotate(df: DataFrame, column: str, schema: Schema, root: str, carry: tuple
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]], names)
 
     return df.select(*carry, F.col(f"`{column}`")).mapInArrow(run, f"{fields}, {ANNOTATION}" if carry else ANNOTATION)
+
+
+def register(spark: SparkSession, name: str, schema: Schema, root: str, mode: str = FAILFAST) -> None:
+    """SQL function name(binary) -> struct(value, error)."""
+    spark.udf.register(name, arrow_decoder(schema, root, mode))
+
+
+def register_items(spark: SparkSession, name: str, schema: Schema, root: str, array: str) -> None:
+    """SQL table function name(binary): a row (index, item) per item of an array field."""
+    key, inner = _key(schema), spark_type(schema, root)
+    out = T.StructType([T.StructField("index", T.LongType()), T.StructField("item", inner[array].dataType.elementType)])
+
+    class Items:
+        def eval(self, message: bytes) -> Iterator[tuple]:
+            if message is not None:
+                decoder, convert, _ = _decoder(key, root, False, False)
+                yield from enumerate(convert(decoder.decode(bytes(message)))[array])
+
+    spark.udtf.register(name, F.udtf(Items, returnType=out))

@@ -51,3 +51,17 @@ def containing(points: DataFrame, sections: DataFrame, message: str, at: str, st
     s = sections.withColumn("__block", F.explode(F.sequence(F.floor(F.col(start) / block), F.floor((F.col(end) - 1) / block))))
     p = points.withColumn("__block", F.floor(F.col(at) / block))
     return p.join(s, [message, "__block"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__block")
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, order: str, values: list[str]) -> DataFrame:
+    """left with the values of the last row of right of its key that is not later; of rows of right
+    at one time, the last by `order`. Both sides become one, sorted once by key and time, and the
+    values are carried on by a window: no row meets more than the row before it. Null times of
+    right are no match, and a row of left without one finds none."""
+    held = F.struct(*values)
+    kind = right.select(held.alias("v")).schema["v"].dataType
+    own = left.select(F.col(key).alias("__key"), F.col(time).alias("__time"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[order].dataType).alias("__order"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(kind).alias("__held"))
+    other = right.where(F.col(time).isNotNull()).select(F.col(key).alias("__key"), F.col(time).alias("__time"), F.lit(0).alias("__side"), F.col(order).alias("__order"), F.lit(None).cast(own.schema["__row"].dataType).alias("__row"), held.alias("__held"))
+    w = Window.partitionBy("__key").orderBy("__time", "__side", "__order").rowsBetween(Window.unboundedPreceding, 0)
+    found = own.unionByName(other).withColumn("__held", F.last("__held", ignorenulls=True).over(w)).where("__side = 1")
+    return found.select("__row.*", *[F.when(F.col("__time").isNotNull() & F.col("__key").isNotNull(), F.col(f"__held.{v}")).alias(v) for v in values])

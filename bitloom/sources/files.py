@@ -66,7 +66,9 @@ class RecordReader(DataSourceReader):
 
         system, name = self._open(self.path)
         info = system.get_file_info(name)
-        files = [info] if info.type == fs.FileType.File else [f for f in system.get_file_info(fs.FileSelector(name)) if f.type == fs.FileType.File]
+        files = [info]
+        if info.type != fs.FileType.File:  # as Spark's own readers, without hidden files and marks
+            files = [f for f in system.get_file_info(fs.FileSelector(name)) if f.type == fs.FileType.File and f.base_name[:1] not in "._"]
         return [_Split(f.path, at, min(self.per, n - at)) for f in files for n in [max(0, (f.size - self.header) // self.length)] for at in range(0, n, self.per)] or [_Split(self.path, 0, 0)]
 
     def read(self, split: _Split) -> Iterator[tuple]:

@@ -148,3 +148,25 @@ def test_framing_static_and_streaming(spark, tmp_path):
             pytest.skip(f"transformWithState is not available here: {str(e)[:80]}")
         raise
     assert sorted((r.key, r["index"], bytes(r.message)) for r in spark.table("framed").collect()) == want
+
+
+def test_as_of(spark):
+    """Ties in time, equal times on both sides, nulls and keys without a match."""
+    from bitloom.operators import relational
+
+    left = spark.createDataFrame([("a", 5, 1), ("a", 5, 2), ("a", 0, 3), ("b", 9, 4), (None, 5, 5), ("a", None, 6), ("a", 99, 7)], "k string, t int, id int")
+    right = spark.createDataFrame([("a", 5, 10, "x"), ("a", 5, 11, "y"), ("a", 3, 12, "z"), ("a", 7, 13, None), (None, 1, 14, "n"), ("a", None, 15, "m")], "k string, t int, o int, v string")
+    got = {r.id: (r.o, r.v) for r in relational.as_of(left, right, "k", "t", "o", ["o", "v"]).collect()}
+    assert got == {1: (11, "y"), 2: (11, "y"), 3: (None, None), 4: (None, None), 5: (None, None), 6: (None, None), 7: (13, None)}
+    assert relational.as_of(left.limit(0), right, "k", "t", "o", ["o"]).count() == 0
+
+
+def test_depth_is_a_parameter(spark):
+    s = load({"types": {"Leaf": {"sequence": [{"name": "tag", "type": "uint8", "const": 0}]}, "Node": {"sequence": [{"name": "tag", "type": "uint8", "const": 1}, {"name": "kid", "type": "choice", "choices": [{"type": "Leaf"}, {"type": "Node"}]}]}}})
+    df = spark.createDataFrame([(bytearray(b"\1" * 6 + b"\0"),)], "w binary")
+    with pytest.raises(Exception, match="CIRCULAR_REFERENCE"):
+        codec.decode(df, "w", s, "Node", "m").collect()
+    got = codec.decode(df, "w", s, "Node", "m", depth=8).first()["m"]
+    for _ in range(5):
+        got = got["kid"]["Node"]
+    assert got["kid"]["type"] == "Leaf"
