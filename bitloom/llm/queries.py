@@ -82,6 +82,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, quotes, suffix_dedup, warc
+    from . import decontaminate, quality_rules, quotes, suffix_dedup, warc
 
-    return {"op7_quotes": quotes.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op9_suffix_dedup": suffix_dedup.ORACLE_SQL}
+    return {"op1_quality_rules": quality_rules.oracle_sql(), "op7_quotes": quotes.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op9_suffix_dedup": suffix_dedup.ORACLE_SQL}

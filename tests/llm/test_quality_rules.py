@@ -67,6 +67,57 @@ def test_certified_cutoffs_reject_the_bad_and_keep_the_good(spark):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_words"] and out.count() == kept[1]
 
 
+def brute_judge(docs, labels, alpha=q.ALPHA, delta=q.DELTA):
+    rows = []
+    for i, text, lang in docs:
+        n, chars, symbols, dup, rep = brute(text)
+        lines = len([x for x in (text or "").split("\n") if WORD.search(x)])
+        score = {"symbols": (symbols, n), "repeats": (rep, n), "dup_lines": (dup, lines), "long_words": (chars, n), "short_words": (-chars, n)}
+        rows.append((i, lang or "", n < 10 or 100 * rep > 20 * n, {r: a / b if b else None for r, (a, b) in score.items()}))
+    truth = {}
+    for i, quality in labels:
+        if i is not None and quality is not None:
+            truth[i] = min(quality, truth.get(i, quality))
+    seen = [(s, sc, truth[i]) for i, s, failed, sc in rows if not failed and i in truth]
+    strata = {s for s, _, _ in seen}
+    rejects = lambda v, sc: any(sc[r] is not None and sc[r] > c for r, c in v.items())
+    cuts = {}
+    for s in strata:
+        best = 0
+        good, bad = ([sc for t, sc, y in seen if t == s and (y > 0) == g] for g in (True, False))
+        for sequence in q.SEQUENCES:
+            for v in q._vectors(sequence):
+                k, b = sum(rejects(v, sc) for sc in good), sum(rejects(v, sc) for sc in bad)
+                if not (k < len(good) * alpha and tail(len(good), k, alpha) <= delta / (len(strata) * len(q.SEQUENCES))):
+                    break
+                if b > best:
+                    best, cuts[s] = b, v
+    return sorted((i, not failed and not rejects(cuts.get(s, {}), sc)) for i, s, failed, sc in rows), cuts
+
+
+def mixed(n):
+    rnd = random.Random(n)
+    docs, labels = [], []
+    for i in range(n):
+        good = rnd.random() < 0.75
+        word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.choice([3, 5, 6]) if good or rnd.random() < 0.5 else rnd.choice([2, 12])))
+        text = " ".join(word() + ("" if good and rnd.random() < 0.98 else rnd.choice(["", "", "%%", "#"])) for _ in range(rnd.randint(5, 30)))
+        docs.append((i, text + ("\nsame line\nsame line" if not good and rnd.random() < 0.4 else ""), rnd.choice(["en", "en", "en", "de", None])))
+        labels.append((i if rnd.random() < 0.95 else None, rnd.choice([int(good), None]) if rnd.random() < 0.05 else int(good)))
+    return docs, [*labels, *labels[:20], (labels[30][0], 0)]
+
+
+def test_cutoffs_and_verdicts_match_brute_force(spark):
+    for n in (60, 700, 2500):
+        docs, labels = mixed(n)
+        want, cuts = brute_judge(docs, labels)
+        assert bool(cuts) == (n > 60)
+        df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+        lb = spark.createDataFrame(labels, "doc_id long, quality int")
+        assert sorted((r.doc_id, r.kept) for r in q.judge(df, lb).collect()) == want
+        assert sorted(r.doc_id for r in q.keep(df, lb).collect()) == [i for i, kept in want if kept]
+
+
 def test_few_labels_certify_nothing(spark):
     docs, labels = labelled(spark, 100)
     assert q.judge(docs, labels).where("kept").count() == 100
