@@ -551,7 +551,9 @@ def cut(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length: int = LEN
     # A segment alone with its anchor has no equal; one that is repeated itself needs no answer.
     wanted = dealt_.where("k > 1")
     small_ = wanted.where(F.col("bytes") <= HOT_BYTES).select("anchor", "name", "segment", "many")
-    found = small_.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_buckets(length), "name binary, places array<int>")
+    size = wanted.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
+    tasks = max(width(spark), math.ceil(size / BUCKET_BYTES))
+    found = small_.repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_buckets(length), "name binary, places array<int>")
     hot = wanted.where(F.col("bytes") > HOT_BYTES)
     if not hot.isEmpty():
         found = found.union(_exploded(hot, length))
