@@ -4,15 +4,16 @@ A text is lower-cased and white space becomes one blank; its subwords are all by
 N_GRAMS sizes without an inner blank, hashed to BUCKETS embeddings. Their average goes through a
 linear layer and a softmax. Embeddings and layer are trained in numpy by stochastic gradient
 descent on a bounded sample: at most about `per_language` labelled documents of each language,
-chosen by a hash of their id, and the first `sample_chars` characters of each, in pieces of
-`piece_chars`. A fifth of the sample is kept from training; on it the softmax temperature is fitted
+chosen by a hash of their id; of a text of more than `sample_chars` characters pieces of
+`piece_chars` are taken evenly from all over it, `sample_chars` in all. A fifth of the sample is kept from training; on it the softmax temperature is fitted
 and the rejection threshold is set, the least score above which `precision` of the answers are
 right. Every whole text is then scored on the executors with one table of BUCKETS x languages.
 
 Defined results: a null text and one without a letter is "und" with score 0; a document without a
 doc_id is not held out but never trained on; if no language has a training text every text is
-"und"; the model knows at most `max_languages` languages, the most frequent; repeated rows are each
-scored; an empty table gives an empty result; extra columns are ignored.
+"und"; every lang value is learned, and a ValueError tells of more than `max_languages`, as the table
+would not fit on an executor; repeated rows are each learned and scored; of equal scores the
+language first in the alphabet is predicted; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -136,12 +137,17 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_chars: int
     """(lang, text) of the bounded training sample, in an order that only ids decide. docs has
     doc_id, text and lang; rows with a null or an empty text are left out."""
     ready = docs.where("doc_id is not null and lang is not null and text <> ''")
-    counts = ready.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = ready.groupBy("lang").count().orderBy("lang").limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"there are more than {max_languages} languages")
     order = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40))
     share = F.lit(None).cast("long")
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, per_language / r["count"]) * (1 << 40)))).otherwise(share)
-    rows = ready.where(order < share).select("lang", F.substring("text", 1, sample_chars).alias("text"), order.alias("o")).collect()
+    n = max(2, sample_chars // PIECE_CHARS)
+    place = lambda i: (1 + F.floor(i * (F.length("text") - PIECE_CHARS) / (n - 1))).cast("int")
+    pieces = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(F.col("text"), place(i), F.lit(PIECE_CHARS))), " ")
+    rows = ready.where(order < share).select("lang", F.when(F.length("text") > sample_chars, pieces).otherwise(F.col("text")).alias("text"), order.alias("o")).collect()
     return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["o"], r["lang"], r["text"]))]
 
 

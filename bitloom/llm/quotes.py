@@ -82,7 +82,7 @@ def threads(parents: DataFrame) -> DataFrame:
 
 def conversations(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text without quotes, parent_turn, root_turn, depth, n_quotes."""
-    read = parsed(messages)
+    read = stored(parsed(messages), "parsed")  # read by three jobs
     replies = threads(links(read))
     out = read.join(replies, ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "role", "text", "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.size("quoted").cast("long").alias("n_quotes"))
