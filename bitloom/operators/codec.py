@@ -29,6 +29,7 @@ from .batch_encode import BatchEncoder
 from .columns import NativeDecoder, NotNative, hex_message
 from .decode_local import Decoder
 from .encode_local import Encoder
+from .layout import static_bits
 from .types import DEPTH, plain, spark_type, tagged
 
 FAILFAST, PERMISSIVE = "FAILFAST", "PERMISSIVE"
@@ -228,7 +229,19 @@ def assemble(df: DataFrame, key: str, order: list[str], value: Column, schema: S
 
 
 def encoded_size(df: DataFrame, value: Column | str, schema: Schema, root: str, out: str = "size") -> DataFrame:
-    return encode(df, value, schema, root, out).withColumn(out, F.octet_length(F.col(out)))
+    """df with the bytes that `value` takes on the wire. A type of one size needs no value; else
+    messages are laid out where the values are, and only their sizes come back."""
+    value = F.col(value) if isinstance(value, str) else value
+    bits = static_bits(schema, root)
+    if bits is not None:
+        return df.withColumn(out, F.when(value.isNotNull(), F.lit(-(-bits // 8)).cast("long")))
+    key = _key(schema)
+
+    @F.arrow_udf(T.LongType())
+    def run(values: pa.Array) -> pa.Array:
+        return pc.binary_length(encoded_batch(values, _encoder(key, root))).cast(pa.int64())
+
+    return df.withColumn(out, run.asNondeterministic()(value))
 
 
 def messages(df: DataFrame, decoded: str, union: str, variant: str) -> DataFrame:
