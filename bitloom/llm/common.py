@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import gc
 import tempfile
 import time
@@ -20,15 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A private one is made only where the
-    session names none, as in tests on one machine."""
+    """The folder that driver and executors share. Where the session names none, a private one is
+    made on one machine, as in tests; on a cluster executors would write to disks of their own, so
+    there it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="bitloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = _private()
     return where.rstrip("/")
 
 
+@functools.cache
+def _private() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="bitloom-")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

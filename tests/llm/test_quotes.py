@@ -1,3 +1,5 @@
+import random
+
 from bitloom.llm import quotes
 
 ROWS = [
@@ -51,3 +53,62 @@ def test_sql_twin(spark):
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", ROWS)
     want = con.execute(quotes.ORACLE_SQL).fetchall()
     assert sorted(map(str, map(tuple, quotes.conversations(df).select(names).collect()))) == sorted(map(str, want))
+
+
+def generated(seed):
+    """Conversations whose messages answer an earlier one, quote it with the levels that it quotes
+    itself, in part and with other marks, and say something of their own."""
+    rnd = random.Random(seed)
+    say = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(rnd.randint(3, 9)))
+    rows, parents = [], {}
+    for conv in range(6):
+        texts: list[tuple[str, list[str]]] = []  # own text, all lines
+        for turn in range(rnd.randint(2, 14)):
+            own = "\n".join(say() for _ in range(rnd.randint(1, 4)))
+            lines = []
+            if texts and rnd.random() < 0.85:
+                parent = rnd.randrange(len(texts))
+                parents[conv, turn] = parent
+                if rnd.random() < 0.3:
+                    lines.append("On some day they wrote:")
+                quoted = texts[parent][1]
+                first = rnd.randrange(len(texts[parent][0].split("\n")))
+                lines += [rnd.choice(["> ", ">"]) + x for x in quoted[: len(quoted) - first] if x or rnd.random() < 0.5]
+                lines.append("")
+            own_lines = own.split("\n")
+            full = [*lines, *own_lines]
+            # what a reader quotes of it: its own text last, so cutting from the end leaves the start of it
+            texts.append((own, [*own_lines, *[x for x in lines if x.startswith(">")]]))
+            rows.append((conv, turn, rnd.choice(["user", "assistant"]), "\r\n".join(full) if rnd.random() < 0.2 else "\n".join(full)))
+    return rows, parents
+
+
+def test_generated_conversations(spark):
+    import duckdb
+
+    rows, parents = generated(3)
+    assert len(parents) > 25
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    names = ["conv_id", "turn", "role", "text", "parent_turn", "root_turn", "depth", "n_quotes"]
+    out = quotes.conversations(df).select(names).collect()
+    assert {(r.conv_id, r.turn): r.parent_turn for r in out if r.parent_turn is not None} == parents
+
+    def up(conv, turn):
+        steps = 0
+        while (conv, turn) in parents:
+            turn, steps = parents[conv, turn], steps + 1
+        return turn, steps
+
+    assert all((r.root_turn, r.depth) == up(r.conv_id, r.turn) for r in out)
+    assert not any(x.startswith(">") or x.endswith("wrote:") for r in out for x in r.text.split("\n"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, con.execute(quotes.ORACLE_SQL).fetchall()))
+
+
+def test_very_long_message_and_ties(spark):
+    """A message of very many lines; of two messages quoted alike the later is answered."""
+    rows = [(1, 0, "u", "\n".join(f"line {i}" for i in range(20000))), (1, 1, "u", "aaa bbb"), (1, 2, "u", "ccc ddd"), (1, 3, "u", "> aaa bbb\n> ccc ddd\nyes"), (1, 4, "u", "\n".join(f"> line {i}" for i in range(20000)) + "\nend")]
+    got = {r.turn: (r.parent_turn, r.text) for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[3] == (2, "yes") and got[4] == (0, "end")
