@@ -48,10 +48,15 @@ def _units(text: Column) -> Column:
 def parsed(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, own text, and quoted: an array of (level, text), a level's lines with
     blank lines where another level stands between them."""
-    df = messages.select("conv_id", "turn", "role", _lines(F.col("text")).alias("lines"))
-    levels = F.array_remove(F.array_distinct(F.transform("lines", lambda x: x["level"])), 0)
-    at = lambda k: F.array_join(F.transform("lines", lambda x: F.when(x["level"] == k, x["content"]).otherwise("")), "\n")
-    return df.select("conv_id", "turn", "role", _own(F.col("lines")).alias("text"), F.transform(levels, lambda k: F.struct(k.alias("level"), at(k).alias("text"))).alias("quoted"))
+
+    def read(lines: Column) -> Column:
+        levels = F.array_remove(F.array_distinct(F.transform(lines, lambda x: x["level"])), 0)
+        at = lambda k: F.array_join(F.transform(lines, lambda x: F.when(x["level"] == k, x["content"]).otherwise("")), "\n")
+        return F.struct(_own(lines).alias("text"), F.transform(levels, lambda k: F.struct(k.alias("level"), at(k).alias("text"))).alias("quoted"))
+
+    # Lines are bound: else each use within a lambda would parse the whole text again.
+    bound = F.element_at(F.transform(F.array(_lines(F.col("text"))), read), 1)
+    return messages.select("conv_id", "turn", "role", bound.alias("x")).select("conv_id", "turn", "role", "x.text", "x.quoted")
 
 
 def links(messages: DataFrame) -> DataFrame:
