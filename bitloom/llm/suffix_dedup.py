@@ -50,6 +50,7 @@ BLOCK_BYTES, TILE = 1 << 20, 1 << 19
 NAME_BYTES = 16 << 20  # of packed sample names that a task sorts at once
 ANCHOR = 32  # bytes of the windows that anchors are chosen from
 BUCKET_BYTES, HOT_BYTES = 2 << 20, 8 << 20  # of segments that are sorted at once; of an anchor that is no bucket
+TASK_BYTES = 2 << 20  # of segments that a task gets
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15  # an odd multiplier
 
@@ -552,7 +553,7 @@ def cut(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length: int = LEN
     wanted = dealt_.where("k > 1")
     small_ = wanted.where(F.col("bytes") <= HOT_BYTES).select("anchor", "name", "segment", "many")
     size = wanted.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
-    tasks = max(width(spark), math.ceil(size / BUCKET_BYTES))
+    tasks = max(width(spark), math.ceil(size / TASK_BYTES))
     found = small_.repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_buckets(length), "name binary, places array<int>")
     hot = wanted.where(F.col("bytes") > HOT_BYTES)
     if not hot.isEmpty():
